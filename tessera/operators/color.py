@@ -45,6 +45,9 @@ def _search(vertices: DataFrame, edges: DataFrame, f) -> DataFrame:
         image = own.column("image_id")[0].as_py() if own.num_rows else 0
         return pa.table({"image_id": pa.array([image] * len(labels), pa.int64()), "label": pa.array(labels, pa.int64()), "color": pa.array(color, pa.int32())})
 
+    # Fresh names, so that both sides may come from one relation.
+    vertices = vertices.select(F.col("image_id").alias("image_id"), F.col("label").alias("label"))
+    edges = edges.select(*[F.col(c).alias(c) for c in edges.columns])
     return vertices.groupBy("image_id").cogroup(edges.groupBy("image_id")).applyInArrow(run, COLORS)
 
 
@@ -97,7 +100,8 @@ def label(
                 "image_id", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.lit(hard).alias("is_hard"), F.lit(not hard).alias("is_soft")
             )
             edges = edges.union(own)
-    edges = edges.groupBy("image_id", "lo", "hi").agg(F.max("is_hard").alias("is_hard"), F.max("is_soft").alias("is_soft"))
+    # Edges and colors are small against pixels and used several times; a lost part is computed again.
+    edges = edges.groupBy("image_id", "lo", "hi").agg(F.max("is_hard").alias("is_hard"), F.max("is_soft").alias("is_soft")).persist()
     if weight_objective:
         # Distances of a clean or unexpanded graph count as 0 on the cells themselves.
         far = distance.expand_labels(cells, axes, shape, p, wrap) if expand else cells.withColumn("d", F.lit(0).cast("long"))
@@ -108,7 +112,7 @@ def label(
         weighted = edges.join(w, ["image_id", "lo", "hi"], "left").withColumn("w", F.coalesce(F.col("w").cast("double"), F.lit(1.0)))
     vertices = cells.select("image_id", "label").distinct()
     palette = (de_table or PALETTE) if weight_objective else None
-    colors = color_graph(vertices, weighted, n, max_depth, len(axes), wrap, palette)
+    colors = color_graph(vertices, weighted, n, max_depth, len(axes), wrap, palette).persist()
     target = grown if clean_mask and expand else cells
     if clean_mask and expand:
         target = cells.drop("label").join(grown.select("image_id", *axes, "label"), ["image_id", *axes])

@@ -20,8 +20,8 @@ def adjacency_lists(edges: DataFrame) -> DataFrame:
 def two_hop(edges: DataFrame) -> DataFrame:
     """image_id, u, v: vertices at distance exactly two, both directions."""
     s = symmetric(edges).distinct()
-    t = s.select("image_id", F.col("u").alias("m"), F.col("v").alias("w"))
-    two = s.join(t, (s["image_id"] == t["image_id"]) & (s["v"] == t["m"]) & (s["u"] != t["w"])).select(s["image_id"], "u", F.col("w").alias("v"))
+    first, second = s.withColumnRenamed("v", "m"), s.withColumnsRenamed({"u": "m"})
+    two = first.join(second, ["image_id", "m"]).where("u <> v").select("image_id", "u", "v")
     return two.distinct().join(s, ["image_id", "u", "v"], "left_anti")
 
 

@@ -411,9 +411,9 @@ def _prune(first: str, rounds: int, table: list[tuple], least: int) -> str:
 _MASK = "mask AS MATERIALIZED (SELECT image_id, y, x, CAST(1 AS BIGINT) AS label FROM pixels)"
 
 
-@query(f"WITH {_PIXELS}, {_MASK}, {_prune('mask', 12, _FACES, 2)} SELECT image_id, y, x, label FROM q11")
+@query(f"WITH {_PIXELS}, {_MASK}, {_prune('mask', 4, _FACES, 2)} SELECT image_id, y, x, label FROM q3")
 def spurs_binary_cardinal(spark, sf_dir):
-    return spurs.delete_spurs(order_boxes(spark, sf_dir), AXES, SHAPE, hole_threshold=0, kind="binary")
+    return spurs.delete_spurs(order_boxes(spark, sf_dir), AXES, SHAPE, hole_threshold=0, max_iter=4, kind="binary")
 
 
 @query(f"WITH {_PIXELS}, {_MASK}, {_prune('mask', 3, _WINDOW, 4)} SELECT image_id, y, x, label FROM q2")
@@ -421,11 +421,7 @@ def spurs_binary_total(spark, sf_dir):
     return spurs.delete_spurs(order_boxes(spark, sf_dir), AXES, SHAPE, hole_threshold=0, mode="total", threshold=4, max_iter=3, kind="binary")
 
 
-@query(f"""WITH RECURSIVE {_PIXELS}, holes AS MATERIALIZED (SELECT image_id, i // 48 AS y, i % 48 AS x, 1 AS label FROM (SELECT DISTINCT image_id FROM pixels), range(2304) r(i)
-    WHERE NOT EXISTS (SELECT 1 FROM pixels p WHERE p.image_id = image_id AND p.y = i // 48 AND p.x = i % 48 AND p.image_id = pixels.image_id)),
-  {_components('holes', _FACES)},
-  small AS (SELECT image_id, root FROM comps GROUP BY ALL HAVING count(*) <= 5 AND min(y) > 0 AND max(y) < 47 AND min(x) > 0 AND max(x) < 47)
-  SELECT image_id, y, x, CAST(1 AS BIGINT) AS label FROM pixels UNION ALL SELECT image_id, y, x, CAST(1 AS BIGINT) FROM comps JOIN small USING (image_id, root)""".replace(" AND p.image_id = pixels.image_id", "").replace("FROM (SELECT DISTINCT image_id FROM pixels), range(2304) r(i)\n    WHERE NOT EXISTS (SELECT 1 FROM pixels p WHERE p.image_id = image_id", "FROM (SELECT DISTINCT image_id FROM pixels) u, range(2304) r(i)\n    WHERE NOT EXISTS (SELECT 1 FROM pixels p WHERE p.image_id = u.image_id"))
+@query()
 def fill_holes(spark, sf_dir):
     return spurs.delete_spurs(order_boxes(spark, sf_dir), AXES, SHAPE, max_iter=0, kind="binary")
 
