@@ -61,7 +61,7 @@ def fit(rows: list, dim: int = 12, epochs: int = 12, rate: float = 1.0, seed: in
     return (vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 5000, test_fold: int = 0) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 1500, test_fold: int = 0) -> DataFrame:
     """Columns doc_id, held_out, score, predicted."""
     learn = labels.where(fold(F.col("doc_id")) != test_fold)
     rows = sample_features(docs, labelled(docs, learn, "quality", max_rows, 6))

@@ -71,15 +71,18 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
 
 def _fit(rows: list, epochs: int = 250, scale: float = 30.0, l2: float = 2e-6) -> tuple[np.ndarray, float]:
     """Full-batch logistic regression by Adam on sparse rows; returns the table and the intercept."""
-    at = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
     col = np.concatenate([r[2] for r in rows])
-    val = np.concatenate([r[3] for r in rows]).astype(np.float64) * scale
+    val = np.concatenate([r[3] for r in rows]) * np.float32(scale)
     y = np.array([r[1] for r in rows], float)
-    used, col = np.unique(col, return_inverse=True)
+    seen = np.zeros(TABLE, bool)
+    seen[col] = True
+    used = np.flatnonzero(seen)
+    col = (np.cumsum(seen) - 1).astype(np.int32)[col]
     w, b, m, v = np.zeros(len(used) + 1), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, epochs + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w[col] * val, len(rows)) + b, -30, 30)))
-        g = np.append(np.bincount(col, (p - y)[at] * val, len(used)) / len(rows) + l2 * w[:-1], (p - y).mean())
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w.astype(np.float32)[col] * val, len(rows)) + b, -30, 30)))
+        g = np.append(np.bincount(col, (p - y).astype(np.float32)[at] * val, len(used)) / len(rows) + l2 * w[:-1], (p - y).mean())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - np.append(step[:-1], 0), b - step[-1]
@@ -101,7 +104,7 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(ab[0]), float(ab[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, seed: int = 9) -> tuple[np.ndarray, float] | None:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, seed: int = 9) -> tuple[np.ndarray, float] | None:
     """Table and intercept of the calibrated log-odds that a row's label is 1."""
     rows = sample_features(docs, labelled(docs, labels, "quality", max_rows, seed))
     y = np.array([r[1] for r in rows])
@@ -125,7 +128,7 @@ def judge(data: np.ndarray, off: np.ndarray, model, threshold: float) -> dict[st
     return out | {"base_failed": failed, "p_good": good, "kept": ~failed & (good >= threshold)}
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 4000) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 1500) -> DataFrame:
     """doc_id, the five counts, base_failed, p_good (calibrated), kept."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))  # one table of fixed size
 
@@ -140,7 +143,7 @@ def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_
     return id_text(docs).mapInArrow(run, schema)
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 4000) -> DataFrame:
+def filter_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 1500) -> DataFrame:
     """The rows that the rules keep, every column as it was."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))
 
