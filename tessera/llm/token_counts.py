@@ -60,7 +60,8 @@ class Counter(dict):
         if len(self) > self.most:
             self.clear()
             self.update(dict.fromkeys(self.whole, 1))
-        n = len(self.sp.encode(rest)) if rest else len(self.sp.encode_as_pieces(MARK)) - 1
+        # The library puts no mark before an empty text; a lone mark is one piece, or its three bytes.
+        n = len(self.sp.encode(rest)) if rest else 1 if self.sp.piece_to_id(MARK) != self.sp.unk_id() else 3
         self[rest] = n
         return n
 
@@ -78,20 +79,11 @@ class Counter(dict):
                 total += self[" " * gap + part]
                 gap = 0
             elif k == len(parts) - 1:
-                total += self.marks(gap + 1)
+                total += self[" " * gap]
             else:
                 gap += 1
         return total
 
-    def marks(self, n: int) -> int:
-        """Tokens of n marks at a text's end: a pre-token without a word."""
-        key = " " * (n - 1)
-        return self[key] if n > 1 else self.one()
-
-    def one(self) -> int:
-        # A single mark is one piece of every such model, by the proof's own vocabulary.
-        return 1
-
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """Columns doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
