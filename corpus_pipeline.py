@@ -5,7 +5,8 @@ Each stage takes (spark, docs, sf_dir), with docs what its predecessor kept. All
 but the last return the columns of documents.
 
 * quality: rows that the base rules or the calibrated regression reject go.
-* near_dedup: of each group of linked fingerprints the smallest doc_id stays.
+* near_dedup: of each group of near copies (five-word shingles, similarity 0.8 or
+  more, candidates from fingerprints and bands) the smallest doc_id stays.
 * decontaminate: rows that leak a benchmark item go.
 * mix: each source comes near its target; a row is there as often as its taken
   words fill it, rounded (0, 1 or 2 times).
@@ -19,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontamination, mixing, quality_rules, sharding, simhash
+from tessera.llm import decontamination, mixing, near_copies, quality_rules, sharding
 from tessera.llm.common import materialize
 
 
@@ -32,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
