@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("shard", shard),
 ]
 
-#: The regression and the fingerprints have no SQL; tests hold run() against plain versions.
+#: The regression and the near copies have no SQL; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
