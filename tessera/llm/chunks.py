@@ -3,7 +3,8 @@
 The corpus is written once as chunks: a few MB of whole texts, compressed, with
 their ids. Operators that ask every position of the corpus about the rest of it
 send, from each chunk to each hash bucket, one packed row of sorted distinct keys;
-a bucket answers in the same order. Keys that a chunk holds often are sent once,
+a bucket answers in the same order. Buckets keep their size however large the
+corpus is, so their number grows, and rows are at most one for each key of a chunk. Keys that a chunk holds often are sent once,
 so a passage that a third of all documents share costs each chunk one entry.
 Answers are joined with their chunk again; chunks, not documents, are shuffled.
 """
@@ -98,9 +99,10 @@ def pack(docs: DataFrame, size: int = 4 << 20) -> DataFrame:
 
 
 def buckets_for(chunks: DataFrame, per_bucket: float) -> int:
-    """Bits of the bucket number: so many that a bucket gets about per_bucket bytes of text, 64 buckets at least."""
+    """Bits of the bucket number: so many that a bucket gets about per_bucket bytes of
+    text, 64 buckets at least. The upper bound is that of a bucket's int, beyond any corpus."""
     total = chunks.agg(F.sum(F.length("body"))).first()[0] or 0
-    return int(np.clip(np.ceil(np.log2(max(1, 2.7 * total / per_bucket))), 6, 16))
+    return int(np.clip(np.ceil(np.log2(max(1, 2.7 * total / per_bucket))), 6, 30))
 
 
 def requests(chunks: DataFrame, ask: Callable, bits: int, replies: DataFrame | None = None) -> DataFrame:
@@ -110,9 +112,10 @@ def requests(chunks: DataFrame, ask: Callable, bits: int, replies: DataFrame | N
 
     def cut(chunk: Chunk, answers: dict) -> Iterator[tuple[int, int, bytes]]:
         keys, arrays = ask(chunk, answers)
-        at = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        for b in np.flatnonzero(np.diff(at)).tolist():
-            yield b, chunk.id, squeeze(*[a[at[b] : at[b + 1]] for a in arrays])
+        bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else []
+        for i, j in zip(at, np.append(at, len(keys))[1:].astype(int), strict=True):
+            yield int(bucket[i]), chunk.id, squeeze(*[a[i:j] for a in arrays])
 
     return _over_chunks(chunks, replies, cut, REQUEST)
 

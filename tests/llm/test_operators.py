@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import decontamination, lm_scoring, mixing, quality_model, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from tessera.llm import chunks, decontamination, lm_scoring, mixing, quality_model, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_counts
 from tessera.llm.common import buffers
 from tessera.llm.components import components
 
@@ -58,6 +58,16 @@ def test_suffix(docs, rows):
     assert got(suffix_dedup.dedup_suffixes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix(rows))
 
 
+@pytest.mark.parametrize("bits", [6, 22])
+def test_exchange_with_any_number_of_buckets(docs, rows, bits, monkeypatch):
+    monkeypatch.setattr(chunks, "buckets_for", lambda packed, size: bits)
+    some = rows[:12]
+    df = docs.where("doc_id < 12")
+    assert got(substring_dedup.dedup_substrings(df), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring(some))
+    pieces = [np.arange(3, dtype=np.uint64), np.zeros(0, np.uint8)]
+    assert [x.tolist() for x in chunks.unsqueeze(chunks.squeeze(*pieces))] == [[0, 1, 2], []]
+
+
 def test_simhash(docs, rows):
     assert got(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id") == sorted(brute.simhash_groups(rows))
     kept = simhash.drop_near_duplicates(docs)
