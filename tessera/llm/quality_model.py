@@ -54,10 +54,11 @@ def fit(rows: list, dim: int = 12, epochs: int = 12, rate: float = 1.0, seed: in
             p /= p.sum()
             p[label] -= 1
             back = p @ out
-            out -= lr * p[:, None] * hidden
+            out -= lr * p[:, None] * hidden / max(np.float32(1), hidden @ hidden)
             bias -= lr * 0.1 * p
-            # Averages spread a step over all features of a text; a share of them is used by few texts, so the step is scaled up.
-            vectors[at] = own - (lr * 20) * weight[:, None] * back
+            # Averages spread a step over all features of a text, so it is scaled up, but never beyond a
+            # normalised step: a text of few features would else move its own average too far.
+            vectors[at] = own - lr * min(np.float32(20), 1 / (weight @ weight)) * weight[:, None] * back
     return (vectors @ (out[1] - out[0])).astype(np.float64), float(bias[1] - bias[0])
 
 

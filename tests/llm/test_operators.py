@@ -131,6 +131,20 @@ def test_quality(docs, labels):
     assert all(r.kept != r.base_failed for r in quality_rules.apply_rules(docs, none).collect())
 
 
+def test_quality_model_stays_finite_and_learns():
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(1200):
+        y = int(i % 6 > 0)
+        n = 1 if i % 3 == 0 else 40  # texts of few features make large steps
+        at = np.concatenate([k * 30_000 + rng.integers(0, 60, n) * 2 + y for k in range(4)])
+        at, count = np.unique(at, return_counts=True)
+        rows.append((i, y, at.astype("<i4"), (count / n).astype("<f4")))
+    table, bias = quality_model.fit(rows)
+    assert np.isfinite(table).all()
+    assert np.mean([(table[a] @ v + bias > 0) == y for _, y, a, v in rows]) > 0.99
+
+
 def test_lm(docs, rows):
     out = {r.doc_id: r for r in lm_scoring.score_texts(docs).collect()}
     for i, held, n, known, total, base in brute.base_scores(rows):
