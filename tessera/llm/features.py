@@ -8,7 +8,7 @@ table. Case is kept: it tells quality.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +69,11 @@ def labelled(docs: DataFrame, labels: DataFrame, target: str, max_rows: int, see
     return one.agg(F.max(F.col(target).cast("int")).alias("y")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
 
 
-def sample_features(docs: DataFrame, chosen: DataFrame) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(doc_id, y, buckets, values) of the chosen documents, their whole texts used.
-    A row is at most as long as the feature table, so rows times table bounds it."""
+def learn(docs: DataFrame, chosen: DataFrame, fit: Callable) -> tuple[np.ndarray, float] | None:
+    """fit(rows), run in one task; rows are (doc_id, y, buckets, values) of the chosen
+    documents by rising id, their whole texts used (of rows that share a doc_id, one).
+    A row is at most as long as the feature table, so rows times table bounds the task,
+    and the driver sees only the table fitted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -90,8 +92,19 @@ def sample_features(docs: DataFrame, chosen: DataFrame) -> list[tuple[int, int,
                     ["doc_id", "y", "a", "v"],
                 )
 
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
+        model = fit([(r["doc_id"], r["y"], np.frombuffer(r["x"]["a"], "<i4"), np.frombuffer(r["x"]["v"], "<f4")) for r in got])
+        if got and model is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([np.append(*model).tobytes()], pa.binary())], ["flat"])
+
     small_batches(docs.sparkSession)
     # chosen has a row limit of its own, so its broadcast is bounded.
     rows = id_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
-    got = rows.mapInArrow(run, "doc_id long, y int, a binary, v binary").toArrow().sort_by("doc_id").to_pylist()
-    return [(r["doc_id"], r["y"], np.frombuffer(r["a"], "<i4"), np.frombuffer(r["v"], "<f4")) for r in got]
+    rows = rows.mapInArrow(run, "doc_id long, y int, a binary, v binary")
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct("a", "v")).alias("x"))
+    found = rows.repartition(1).mapInArrow(one, "flat binary").collect()
+    if not found:
+        return fit([])
+    flat = np.frombuffer(bytes(found[0]["flat"]), np.float64)
+    return flat[:-1], float(flat[-1])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, id_text, pieces, small_batches
-from .features import TABLE, labelled, mean_of, sample_features
+from .features import TABLE, labelled, learn, mean_of
 
 
 def fold(doc_id: F.Column, n: int = 5) -> F.Column:
@@ -64,9 +64,9 @@ def fit(rows: list, dim: int = 12, epochs: int = 12, rate: float = 1.0, seed: in
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 1500, test_fold: int = 0) -> DataFrame:
     """Columns doc_id, held_out, score, predicted."""
-    learn = labels.where(fold(F.col("doc_id")) != test_fold)
-    rows = sample_features(docs, labelled(docs, learn, "quality", max_rows, 6))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows))  # one table of fixed size
+    usable = labels.where(fold(F.col("doc_id")) != test_fold)
+    fitted = learn(docs, labelled(docs, usable, "quality", max_rows, 6), fit)
+    model = docs.sparkSession.sparkContext.broadcast(fitted)  # one table of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bias = model.value

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Rolling, buffers, byte_codes, id_text, mix, owner, pieces, small_batches, word_spans
-from .features import TABLE, labelled, mean_of, sample_features
+from .features import TABLE, labelled, learn, mean_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -104,9 +104,8 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(ab[0]), float(ab[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, seed: int = 9) -> tuple[np.ndarray, float] | None:
+def fit_calibrated(rows: list) -> tuple[np.ndarray, float] | None:
     """Table and intercept of the calibrated log-odds that a row's label is 1."""
-    rows = sample_features(docs, labelled(docs, labels, "quality", max_rows, seed))
     y = np.array([r[1] for r in rows])
     if len(set(y.tolist())) < 2:
         return None
@@ -119,6 +118,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, seed: int =
     return table * a, b * a + c
 
 
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1500, seed: int = 9) -> tuple[np.ndarray, float] | None:
+    """The calibrated model of at most max_rows labelled rows; None without both labels."""
+    return learn(docs, labelled(docs, labels, "quality", max_rows, seed), fit_calibrated)
+
+
 def judge(data: np.ndarray, off: np.ndarray, model, threshold: float) -> dict[str, np.ndarray]:
     out = count_rules(data, off)
     failed = base_failed(out)
