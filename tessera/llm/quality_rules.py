@@ -69,8 +69,13 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
     return (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
 
 
+#: Features of a block of rows in fitting.
+BLOCK = 1 << 19
+
+
 def _fit(rows: list, epochs: int = 250, scale: float = 30.0, l2: float = 2e-6) -> tuple[np.ndarray, float]:
-    """Full-batch logistic regression by Adam on sparse rows; returns the table and the intercept."""
+    """Full-batch logistic regression by Adam on sparse rows; returns the table and the
+    intercept. Gradients are added block by block, so that only the rows are held whole."""
     at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
     col = np.concatenate([r[2] for r in rows])
     val = np.concatenate([r[3] for r in rows]) * np.float32(scale)
@@ -79,10 +84,19 @@ def _fit(rows: list, epochs: int = 250, scale: float = 30.0, l2: float = 2e-6) -
     seen[col] = True
     used = np.flatnonzero(seen)
     col = (np.cumsum(seen) - 1).astype(np.int32)[col]
+    size = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
+    cuts = np.unique(np.append(np.searchsorted(size, np.arange(0, size[-1], BLOCK)), [0, len(rows)])).tolist()
     w, b, m, v = np.zeros(len(used) + 1), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     for t in range(1, epochs + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, w.astype(np.float32)[col] * val, len(rows)) + b, -30, 30)))
-        g = np.append(np.bincount(col, (p - y).astype(np.float32)[at] * val, len(used)) / len(rows) + l2 * w[:-1], (p - y).mean())
+        g, w32 = np.zeros(len(used) + 1), w.astype(np.float32)
+        for r0, r1 in zip(cuts[:-1], cuts[1:], strict=True):
+            i, j = size[r0], size[r1]
+            z = np.bincount(at[i:j] - r0, w32[col[i:j]] * val[i:j], r1 - r0) + b
+            miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r0:r1]
+            g[:-1] += np.bincount(col[i:j], miss.astype(np.float32)[at[i:j] - r0] * val[i:j], len(used))
+            g[-1] += miss.sum()
+        g = g / len(rows)
+        g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w, b = w - np.append(step[:-1], 0), b - step[-1]
