@@ -70,3 +70,29 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     assert kept == [(False, 0), (False, 0), (True, 2), (True, 3), (True, 4), (True, 6)]
     empty = docs.where("false")
     assert near_copies.near_copies(empty).collect() == [] and near_copies.drop_near_copies(empty).collect() == []
+
+
+def shared_template(n, pairs, size, share, seed=3):
+    """n texts that share a passage; the first 2 * pairs are near copies two by two, in
+    their own words as well, all others strangers below the limit."""
+    rng = random.Random(seed)
+    new = lambda k: [f"w{rng.getrandbits(60)}" for _ in range(k)]
+    passage = new(int(size * share))
+    out = []
+    for i in range(n):
+        tail = out[-1].split()[len(passage) :] if i % 2 and i < 2 * pairs else new(size - len(passage))
+        if i % 2 and i < 2 * pairs:
+            tail[len(tail) // 2] = new(1)[0]
+        out.append(" ".join(passage + tail))
+    return out
+
+
+def test_near_copies_that_share_a_template_with_strangers(spark, monkeypatch):
+    rows = list(enumerate(shared_template(300, 60, 60, 0.85)))
+    random.Random(1).shuffle(rows)
+    docs = spark.createDataFrame([(i, t, 7, 7, 7, "g") for i, t in rows], SCHEMA)
+    expected = brute(sorted(rows))
+    assert 200 < len({c for _, c in expected}) < 260
+    assert sorted(tuple(r) for r in near_copies.near_copies(docs).collect()) == expected
+    monkeypatch.setattr(near_copies, "BLOCK_MEMBERS", 40)
+    assert sorted(tuple(r) for r in near_copies.near_copies(docs).collect()) == expected
