@@ -3,12 +3,16 @@ operations alone.
 
 Numbers, names and units are replaced with typed placeholders, on both sides.
 Windows of five template tokens are hashed and joined with those of the
-benchmark. For each pair of a document and an item, the slots under the matching
+benchmark. A capitalised word that opens a sentence may be a name or an ordinary
+word: its windows are there in both readings, on both sides, and in every mixture
+of them where a window has several. For each pair of a document and an item, the slots under the matching
 windows are compared: the same value of the item must stand against the same
 value of the document wherever it occurs. A pair is a leak if the document holds
 at least `share` of the item's distinct template windows (items shorter than a
 window: the whole item as one window) with consistent slots; `verbatim` tells
-whether every slot has the item's own value.
+whether every slot has the item's own value. An opening word that differs is a slot;
+where one item value then meets several of the document, the windows that read an
+opening word with that value as a name do not count.
 
 Documents' windows flow through the join unshuffled while the benchmark's are
 small enough to broadcast, which is measured; beyond that the join is a shuffled
@@ -27,8 +31,11 @@ from pyspark.sql import functions as F
 # Units of measure that may follow a number.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l s sec secs min mins h hr hrs hour hours day days week weeks month months year years euro euros dollar dollars usd eur percent degrees c f k kb mb gb tb hz khz mhz ghz w kw v a j n pa mph kmh".split()
 
+MARK = "\u0001"
 NUMBER, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
 WIDTH = 5
+#: Places by which a window's hash turns the code of each further word.
+STEP = 13
 
 
 def _tokens(text: F.Column) -> F.Column:
@@ -42,7 +49,8 @@ def _bare(word: F.Column) -> F.Column:
 
 
 def canonical(df: DataFrame, key: str) -> DataFrame:
-    """key, words (as written, trimmed of punctuation), kind (the template tokens)."""
+    """key, raw (the words as written), kind (the template tokens), opens (whether an
+    ordinary word may be a name, as it opens a sentence)."""
     words = df.select(key, _tokens(F.col("text")).alias("raw"))
     first = lambda w: F.substring(w, 1, 1)
     digit = lambda w: F.when((first(w) >= "0") & (first(w) <= "9"), True).when(F.length(w) > 1, F.substring(w, 2, 1).between("0", "9")).otherwise(False)
@@ -51,8 +59,7 @@ def canonical(df: DataFrame, key: str) -> DataFrame:
     def token(w, i):
         low = F.lower(w)
         before = F.when(i > 0, F.element_at("raw", i)).otherwise(F.lit("."))
-        capital = (first(w) != first(low)) & (F.substring(w, 2, 1) == F.substring(low, 2, 1))
-        name = capital & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
+        name = capital(w) & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
         return (
             F.when(digit(w), NUMBER)
             .when((i > 0) & digit(before) & F.array_contains(units, _bare(low)), UNIT)
@@ -60,49 +67,93 @@ def canonical(df: DataFrame, key: str) -> DataFrame:
             .otherwise(low)
         )
 
-    return words.withColumn("kind", F.transform("raw", token))
+    capital = lambda w: (first(w) != first(F.lower(w))) & (F.substring(w, 2, 1) == F.substring(F.lower(w), 2, 1))
+    words = words.withColumn("kind", F.transform("raw", token))
+    # Words that are ordinary though capitalised are those that open sentences.
+    return words.withColumn("opens", F.zip_with("raw", "kind", lambda w, k: ~k.isin(NUMBER, NAME, UNIT) & capital(w)))
+
+
+def _turn(code: F.Column, by) -> F.Column:
+    """The bits of code turned left by a number of places."""
+    by = by if isinstance(by, F.Column) else F.lit(by)
+    left, right = F.call_function("shiftleft", code, by), F.call_function("shiftrightunsigned", code, F.lit(64) - by)
+    return F.when(by == 0, code).otherwise(left.bitwiseOR(right))
 
 
 def _windows(df: DataFrame, key: str) -> DataFrame:
-    """key, raw, kind and pos, window: a row for each window of a text."""
+    """key, raw, kind and pos, window, plain: a row for each window of a text and each
+    reading of its opening words; plain is the window's hash with all of them ordinary."""
     n = F.size("kind")
     hashed = df.withColumn("codes", F.transform("kind", lambda w: F.xxhash64(w)))
     # Two passes over neighbours give windows of two and four; the fifth word is added last.
+    # A word's code, turned by its place, is one term of the sum modulo two: a reading exchanges terms.
     shift = lambda c, by: F.slice(c, by + 1, F.greatest(F.size(c) - by, F.lit(0)))
-    join = lambda a, b: F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: F.xxhash64(x, y))
-    hashed = hashed.withColumn("two", join(F.col("codes"), shift(F.col("codes"), 1)))
-    hashed = hashed.withColumn("four", join(F.col("two"), shift(F.col("two"), 2)))
-    five = join(F.col("four"), shift(F.col("codes"), 4))
-    short = F.array(F.xxhash64(F.concat_ws(" ", "kind"), n))
+    join = lambda a, b, by: F.zip_with(F.slice(a, 1, F.size(b)), b, lambda x, y: x.bitwiseXOR(_turn(y, by * STEP)))
+    hashed = hashed.withColumn("two", join(F.col("codes"), shift(F.col("codes"), 1), 1))
+    hashed = hashed.withColumn("four", join(F.col("two"), shift(F.col("two"), 2), 2))
+    five = join(F.col("four"), shift(F.col("codes"), 4), 4)
+    # The terms of a short text's window, the length among them.
+    short = F.array(F.aggregate(F.sequence(F.lit(1), n), F.xxhash64(n), lambda h, i: h.bitwiseXOR(_turn(F.element_at("codes", i), (i - 1) * STEP))))
     # The outer form, as the inner one would compute the arrays again in filters that it infers.
     every = F.when(n >= WIDTH, five).when(n > 0, short)
-    return hashed.select(key, "raw", "kind", every.alias("every")).select(key, "raw", "kind", F.posexplode_outer("every").alias("pos", "window"))
+    hashed = hashed.select(key, "raw", "kind", "codes", every.alias("every"), F.filter(F.sequence(F.lit(1), n), lambda i: (n > 0) & F.element_at("opens", i)).alias("openers"))
+
+    def starts(a):
+        return F.sequence(F.greatest(a - WIDTH, F.lit(0)), F.least(a - 1, F.greatest(n - WIDTH, F.lit(0))))
+
+    def readings(s):
+        exchange = lambda a: _turn(F.element_at("codes", a).bitwiseXOR(F.xxhash64(F.lit(NAME))), (a - 1 - s) * STEP)
+        inside = F.filter("openers", lambda a: (a > s) & (a <= s + WIDTH))
+        found = F.aggregate(inside, F.array(F.element_at("every", s + 1)), lambda seen, a: F.concat(seen, F.transform(seen, lambda h: h.bitwiseXOR(exchange(a)))))
+        return F.transform(F.slice(found, 2, F.size(found) - 1), lambda h: F.struct(s.alias("pos"), h.alias("window"), F.element_at("every", s + 1).alias("plain")))
+
+    named = F.flatten(F.transform(F.array_distinct(F.flatten(F.transform("openers", starts))), readings))
+    named = F.when(F.size("openers") > 0, named)
+    plain = F.transform("every", lambda h, i: F.struct(i.alias("pos"), h.alias("window"), h.alias("plain")))
+    rows = F.when(F.size("openers") > 0, F.concat(plain, named)).otherwise(plain)
+    return hashed.select(key, "raw", "kind", rows.alias("rows")).select(key, "raw", "kind", F.explode_outer("rows").alias("row")).select(key, "raw", "kind", "row.*")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """Columns doc_id, item_id, n_windows (of the item), n_found, containment,
     verbatim: one row for each leak."""
     items = canonical(benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text")), "item_id")
-    item_windows = _windows(items, "item_id").withColumn("slots", _slots(F.col("raw"), F.col("kind"), F.col("pos")))
-    item_windows = item_windows.select("item_id", F.col("pos").alias("item_pos"), "window", F.col("slots").alias("item_slots"))
-    totals = item_windows.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
+    item_windows = _windows(items, "item_id").withColumn("values", _values(F.col("raw"), F.col("kind"), F.col("pos")))
+    item_windows = item_windows.select("item_id", F.col("pos").alias("item_pos"), "window", F.col("plain").alias("item_window"), F.col("values").alias("item_values"))
+    totals = item_windows.groupBy("item_id").agg(F.countDistinct("item_window").alias("n_windows"))
     small = item_windows.limit(broadcast_rows + 1).count() <= broadcast_rows
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     doc_windows = _windows(canonical(plain, "doc_id"), "doc_id")
-    hits = doc_windows.join(F.broadcast(item_windows) if small else item_windows, "window").select(
-        "doc_id", "item_id", "window", "item_pos", F.col("pos").alias("doc_pos"), "item_slots", _slots(F.col("raw"), F.col("kind"), F.col("pos")).alias("doc_slots")
+    hits = doc_windows.drop("plain").join(F.broadcast(item_windows) if small else item_windows, "window").select(
+        "doc_id", "item_id", "item_window", "item_pos", F.col("pos").alias("doc_pos"), "item_values", _values(F.col("raw"), F.col("kind"), F.col("pos")).alias("doc_values")
     )
+    # Equal ordinary words are no slots; of two that differ one is read as a name, as are both.
+    slot = lambda v: v.startswith(MARK)
+    name = lambda v: F.when(slot(v), v).otherwise(F.concat(F.lit(NAME), _bare(v)))
+    both = F.filter(F.arrays_zip(F.col("item_values").alias("item"), F.col("doc_values").alias("doc")), lambda s: slot(s["item"]) | (s["item"] != s["doc"]))
+    hits = hits.select(
+        "doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), F.col("item_window").alias("window"),
+        F.transform(both, lambda s: F.struct(name(s["item"]).alias("item"), name(s["doc"]).alias("doc"))).alias("slots"),
+        F.transform(F.filter(both, lambda s: ~slot(s["item"]) | ~slot(s["doc"])), lambda s: name(s["item"])).alias("read"),
+    )
     # Windows of one shift form a run; slots of one item value must agree within the pair's best run.
-    shift = F.col("doc_pos") - F.col("item_pos")
-    runs = hits.groupBy("doc_id", "item_id", shift.alias("shift")).agg(
-        F.collect_set("window").alias("found"),
-        F.array_distinct(F.flatten(F.collect_set(F.arrays_zip(F.col("item_slots").alias("item"), F.col("doc_slots").alias("doc"))))).alias("slots"),
-    )
+    values = lambda hits: F.array_distinct(F.flatten(F.transform(hits, lambda h: h["slots"])))
+    runs = hits.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("window", "slots", "read")).alias("hits"))
+    runs = runs.withColumn("slots", values(F.col("hits")))
+    # Item values that meet several: none is the usual case.
+    several = F.filter(F.array_distinct(F.transform("slots", lambda s: s["item"])), lambda v: F.size(F.filter("slots", lambda s: s["item"] == v)) > 1)
+    runs = runs.withColumn("several", several)
+    runs = runs.withColumn("hits", F.when(F.size("several") == 0, F.col("hits")).otherwise(F.filter("hits", lambda h: ~F.arrays_overlap(h["read"], "several"))))
+    runs = runs.withColumn("slots", values(F.col("hits")))
     runs = runs.withColumn("consistent", F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))))
-    runs = runs.withColumn("verbatim", F.forall("slots", lambda s: s["item"] == s["doc"]))
-    pairs = runs.where("consistent").groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).cast("long").alias("n_found"), F.min("verbatim").alias("verbatim")
-    )
+    # A reading as another name tells of a replaced one only where its window has no plain match.
+    own = lambda h: F.forall(h["slots"], lambda s: s["item"] == s["doc"])
+    other = lambda h: (F.size(h["read"]) > 0) & ~own(h)
+    windows = lambda test: F.transform(F.filter("hits", test), lambda h: h["window"])
+    runs = runs.withColumn("verbatim", F.forall("hits", lambda h: own(h) | other(h))).withColumn("read", windows(other)).withColumn("found", windows(lambda h: ~other(h)))
+    union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    pairs = runs.where("consistent").groupBy("doc_id", "item_id").agg(union("found").alias("found"), union("read").alias("read"), F.min("verbatim").alias("verbatim"))
+    pairs = pairs.select("doc_id", "item_id", F.size(F.array_union("found", "read")).cast("long").alias("n_found"), (F.col("verbatim") & (F.size(F.array_except("read", "found")) == 0)).alias("verbatim"))
     return (
         pairs.join(totals, "item_id")
         .select("doc_id", "item_id", "n_windows", "n_found", (F.col("n_found") / F.col("n_windows")).alias("containment"), "verbatim")
@@ -110,11 +161,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, broadc
     )
 
 
-def _slots(raw: F.Column, kind: F.Column, pos: F.Column) -> F.Column:
-    """The values that placeholders of a window stand for, in order."""
+def _values(raw: F.Column, kind: F.Column, pos: F.Column) -> F.Column:
+    """The words of a window, in order: placeholders with their values, ordinary words
+    as they are in the template."""
     at = F.sequence(pos + 1, F.least(pos + WIDTH, F.size(kind)))
-    marked = F.filter(at, lambda i: F.element_at(kind, i).isin(NUMBER, NAME, UNIT))
-    return F.transform(marked, lambda i: F.concat(F.element_at(kind, i), _bare(F.lower(F.element_at(raw, i)))))
+    value = lambda i: F.concat(F.element_at(kind, i), _bare(F.lower(F.element_at(raw, i))))
+    return F.transform(at, lambda i: F.when(F.element_at(kind, i).isin(NUMBER, NAME, UNIT), value(i)).otherwise(F.element_at(kind, i)))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8) -> DataFrame:

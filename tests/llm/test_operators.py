@@ -188,6 +188,20 @@ def test_leaks(spark):
     assert sorted(r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()) == [3, 4, 5, 6]
 
 
+def test_leaks_with_the_names_that_open_sentences_replaced(spark):
+    item = "Anna has 5 boxes of pencils in her bag. Anna gives 2 boxes to her friend at school. Anna then buys 7 more boxes on the way home. How many boxes of pencils does she have now?"
+    other = item.replace("Anna", "Maria").replace("5", "9").replace("2", "4").replace("7", "3")
+    crossed = other.replace("Maria gives", "Nora gives")
+    twice = "Anna! Anna has 3 red apples here. Anna! Anna ate 2 red apples there before the long day ended."
+    odd = item.replace("Anna has", "Then has").replace("Anna gives", "Now gives")
+    short = "He has 3 apples in total. She has 3 apples in total."
+    texts = [f"x y z. {item} and more", f"x y z. {other} and more", f"x y z {other} and more", f"x y z. {crossed} and more", twice.replace("Anna", "Bob").replace("3", "8"), f"a b. {odd} c", "Maria has other things. Maria gives none of them away.", short]
+    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item), (11, twice), (12, short)], "item_id long, text string")
+    out = {(r.doc_id, r.item_id): (r.n_windows, r.n_found, r.verbatim) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert out == {(1, 10): (33, 33, True), (2, 10): (33, 33, False), (3, 10): (33, 33, False), (5, 11): (15, 15, False), (6, 10): (33, 27, True), (8, 12): (7, 7, True)}
+
+
 def test_empty_and_null_ids(spark, docs, labels):
     P = pytest.importorskip("public_tokenizers")
     empty = docs.where("false")
