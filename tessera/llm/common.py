@@ -24,27 +24,60 @@ _powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where
-    that is unset (local tests), a temporary one set for this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is
+    unset, a temporary one serves a local session; a cluster has to name its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage, and a lost
-    executor costs nothing that was written."""
+    executor costs nothing that was written. The session's tables go as it ends;
+    discard() drops one before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/tessera/{spark.sparkContext.applicationId}"
+    files, at = _file_system(spark, home)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
-    """Bound what one Arrow batch holds, so that long texts cannot fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+def discard(table: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        if "/tessera/" in path:
+            files, at = _file_system(table.sparkSession, path)
+            files.delete(at, True)
+
+
+def small_batches(spark: SparkSession, mb: int = 4) -> None:
+    """Bound what one Arrow batch holds, so that long texts cannot fill a worker. A
+    smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= mb << 20:
+        spark.conf.set(name, str(mb << 20))
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like name that docs has not, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def id_text(docs: DataFrame) -> DataFrame:
@@ -66,7 +99,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batch: pa.RecordBatch, texts: str = "text", limit: int = 4 << 20):
+def pieces(batch: pa.RecordBatch, texts: str = "text", limit: int = 1 << 20):
     """Slices of a batch with about limit bytes of text each (one text at least)."""
     col = batch.column(batch.schema.get_field_index(texts))
     _, off = buffers(col)
@@ -109,6 +142,10 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def byte_codes(data: np.ndarray) -> np.ndarray:
     return _BYTE_CODE[data]
 

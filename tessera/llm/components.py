@@ -1,12 +1,13 @@
 """Connected components of an edge table, by alternating large-star and small-star
-steps; every step is joins and aggregates, every round a written table."""
+steps; every step is joins and aggregates, every round a written table that replaces
+the one before. Rows with a null end are no edges."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def _star(both: DataFrame, larger: bool) -> DataFrame:
@@ -33,7 +34,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _star(both, True)
         small = _star(large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False)
-        now = materialize(small, "edges")
+        before, now = now, materialize(small, "edges")
+        discard(before)
         after = look(now)
         if after == seen:
             break
