@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import buffers, id_text, pieces, small_batches
-from .features import TABLE, labelled, learn, mean_of
+from .features import TABLE, Rows, labelled, learn, mean_of
 
 
 def fold(doc_id: F.Column, n: int = 5) -> F.Column:
@@ -29,9 +29,9 @@ def fold(doc_id: F.Column, n: int = 5) -> F.Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % n
 
 
-def fit(rows: list, dim: int = 12, epochs: int = 12, rate: float = 1.0, seed: int = 6) -> tuple[np.ndarray, float]:
+def fit(rows: Rows, dim: int = 12, epochs: int = 12, rate: float = 1.0, seed: int = 6) -> tuple[np.ndarray, float]:
     """The folded table and bias: log-odds of label 1."""
-    y = np.array([r[1] for r in rows], np.int64)
+    y = rows.y
     if len(set(y.tolist())) < 2:
         p = float(y.mean()) if len(y) else 0.5
         p = min(max(p, 1e-3), 1 - 1e-3)
@@ -44,7 +44,8 @@ def fit(rows: list, dim: int = 12, epochs: int = 12, rate: float = 1.0, seed: in
         for i in rng.permutation(len(rows)):
             lr = np.float32(rate * (1 - done / steps) + 0.01)
             done += 1
-            _, label, at, weight = rows[i]
+            to, label = slice(rows.size[i], rows.size[i + 1]), y[i]
+            at, weight = rows.col[to], rows.val[to]
             if not len(at):
                 continue
             own = vectors[at]

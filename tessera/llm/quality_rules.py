@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import Rolling, buffers, byte_codes, id_text, mix, owner, pieces, small_batches, word_spans
-from .features import TABLE, labelled, learn, mean_of
+from .features import TABLE, Rows, labelled, learn, mean_of
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, bool)
@@ -69,37 +69,41 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
     return (c["n_words"] < 20) | (100 * c["n_repeat_words"] > 30 * c["n_words"])
 
 
-#: Features of a block of rows in fitting.
-BLOCK = 1 << 19
-
-
-def _fit(rows: list, epochs: int = 250, scale: float = 30.0, l2: float = 2e-6) -> tuple[np.ndarray, float]:
+def _fit(rows: Rows, epochs: int = 250, scale: float = 30.0, l2: float = 2e-6) -> tuple[np.ndarray, float]:
     """Full-batch logistic regression by Adam on sparse rows; returns the table and the
-    intercept. Gradients are added block by block, so that only the rows are held whole."""
-    at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2]) for r in rows])
-    col = np.concatenate([r[2] for r in rows])
-    val = np.concatenate([r[3] for r in rows]) * np.float32(scale)
-    y = np.array([r[1] for r in rows], float)
-    seen = np.zeros(TABLE, bool)
-    seen[col] = True
-    used = np.flatnonzero(seen)
-    col = (np.cumsum(seen) - 1).astype(np.int32)[col]
-    size = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])])
-    cuts = np.unique(np.append(np.searchsorted(size, np.arange(0, size[-1], BLOCK)), [0, len(rows)])).tolist()
-    w, b, m, v = np.zeros(len(used) + 1), 0.0, np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    intercept. Features lie in two orders, by row for the scores and by bucket for the
+    gradients, so that both are sums of slices."""
+    order = np.argsort(rows.col, kind="stable")
+    by_col = rows.col[order]
+    first = np.flatnonzero(np.concatenate([[True], by_col[1:] != by_col[:-1]])) if len(by_col) else np.zeros(0, np.int64)
+    used, n = by_col[first], len(first)
+    place = np.zeros(TABLE, np.int32)
+    place[used] = np.arange(n)
+    col = place[rows.col]
+    row_of = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(rows.size))[order]
+    val_of = rows.val[order]
+    del order, by_col
+    full = np.flatnonzero(np.diff(rows.size))
+    begin, held = rows.size[full], np.empty(len(col), np.float32)
+    w, b, m, v = np.zeros(n + 1), 0.0, np.zeros(n + 1), np.zeros(n + 1)
     for t in range(1, epochs + 1):
-        g, w32 = np.zeros(len(used) + 1), w.astype(np.float32)
-        for r0, r1 in zip(cuts[:-1], cuts[1:], strict=True):
-            i, j = size[r0], size[r1]
-            z = np.bincount(at[i:j] - r0, w32[col[i:j]] * val[i:j], r1 - r0) + b
-            miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[r0:r1]
-            g[:-1] += np.bincount(col[i:j], miss.astype(np.float32)[at[i:j] - r0] * val[i:j], len(used))
-            g[-1] += miss.sum()
-        g = g / len(rows)
+        z, g = np.zeros(len(rows)), np.zeros(n + 1)
+        if n:
+            np.take((w[:-1] * scale).astype(np.float32), col, out=held, mode="clip")
+            np.multiply(held, rows.val, out=held)
+            z[full] = np.add.reduceat(held, begin)
+        miss = 1 / (1 + np.exp(-np.clip(z + b, -30, 30))) - rows.y
+        if n:
+            np.take((miss * scale).astype(np.float32), row_of, out=held, mode="clip")
+            np.multiply(held, val_of, out=held)
+            g[:-1] = np.add.reduceat(held, first)
+        g[-1] = miss.sum()
+        g /= len(rows)
         g[:-1] += l2 * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w, b = w - np.append(step[:-1], 0), b - step[-1]
+        w[:-1] -= step[:-1]
+        b -= step[-1]
     table = np.zeros(TABLE, np.float64)
     table[used] = w[:-1] * scale
     return table, float(b)
@@ -118,17 +122,18 @@ def _platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(ab[0]), float(ab[1])
 
 
-def fit_calibrated(rows: list) -> tuple[np.ndarray, float] | None:
+def fit_calibrated(rows: Rows) -> tuple[np.ndarray, float] | None:
     """Table and intercept of the calibrated log-odds that a row's label is 1."""
-    y = np.array([r[1] for r in rows])
-    if len(set(y.tolist())) < 2:
+    both = lambda y: len(set(y.tolist())) == 2
+    if not both(rows.y):
         return None
     fold = np.arange(len(rows)) % 5 == 0
-    if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
+    if not both(rows.y[fold]) or not both(rows.y[~fold]):
         return _fit(rows)
-    table, b = _fit([r for r, f in zip(rows, fold, strict=True) if not f])
-    z = np.array([table[r[2]] @ r[3] + b for r, f in zip(rows, fold, strict=True) if f])
-    a, c = _platt(z, y[fold])
+    table, b = _fit(rows.take(~fold))
+    cut = rows.size
+    z = np.array([table[rows.col[cut[i] : cut[i + 1]]] @ rows.val[cut[i] : cut[i + 1]] + b for i in np.flatnonzero(fold)])
+    a, c = _platt(z, rows.y[fold])
     return table * a, b * a + c
 
 
@@ -149,6 +154,7 @@ def judge(data: np.ndarray, off: np.ndarray, model, threshold: float) -> dict[st
 def apply_rules(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_rows: int = 1500) -> DataFrame:
     """doc_id, the five counts, base_failed, p_good (calibrated), kept."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_rows))  # one table of fixed size
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
