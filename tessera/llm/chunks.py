@@ -68,6 +68,12 @@ class Chunk:
         return pa.array(self.ids, pa.int64(), mask=self.nulls)
 
 
+def chunks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield Chunk.of(batch.slice(k, 1).to_pylist()[0])
+
+
 def pack(docs: DataFrame, size: int = 4 << 20) -> DataFrame:
     """The corpus as chunks of about size bytes of text, written to the shared folder."""
 
@@ -146,9 +152,8 @@ def _over_chunks(chunks: DataFrame, replies: DataFrame | None, f: Callable, sche
     if replies is None:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for k in range(batch.num_rows):
-                    yield from _table_of(f(Chunk.of(batch.slice(k, 1).to_pylist()[0]), {}), schema).to_batches()
+            for chunk in chunks_of(batches):
+                yield from _table_of(f(chunk, {}), schema).to_batches()
 
         return chunks.mapInArrow(run, schema)
 

@@ -9,6 +9,10 @@ of `width` bytes begin more than once:
   bucket of one run holds no repeat and is done.
 * First refinement: runs of a bucket are split by their whole content (all bytes of
   all windows of the run). Runs of equal content are repeats throughout.
+* Where a q-gram is very frequent, its bucket would hold a run of each context it
+  stands in. Such q-grams are looked up in a sample of the chunks (it decides who
+  asks how, no result), and their runs are refined to windows at once, whose buckets
+  are no larger than what repeats.
 * Only runs alone in their content, in buckets of several, are refined by window,
   against one run of each content: the bucket of a string of length 2h at a place is
   the pair of the buckets of length h there and h further on, the pointers of
@@ -25,10 +29,12 @@ their own. An empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import chunks as C
 from .common import Rolling, byte_codes, mix
@@ -55,9 +61,10 @@ def sliding_argmin(h: np.ndarray, w: int) -> np.ndarray:
 
 
 class Runs:
-    """The runs of a chunk's windows, and their distinct (bucket, content) entries."""
+    """The runs of a chunk's windows, and the distinct (bucket, content) entries of
+    runs, or of windows where the bucket is among the hot ones."""
 
-    def __init__(self, chunk: C.Chunk, width: int, gram: int):
+    def __init__(self, chunk: C.Chunk, width: int, gram: int, hot: np.ndarray):
         self.width, self.gram = width, gram
         self.roll = Rolling(byte_codes(chunk.data))
         n = len(chunk.data)
@@ -68,19 +75,29 @@ class Runs:
             grams = np.arange(n - gram + 1)
             low = sliding_argmin(self.roll.of(grams, grams + gram), width - gram + 1)[at]
             cut = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (at[1:] != at[:-1] + 1)]))
-            self.lo, self.anchor = at[cut], low[cut]
+            self.lo, anchor = at[cut], low[cut]
             self.hi = at[np.append(cut[1:], len(at)) - 1] + 1
         else:
-            self.lo = self.anchor = self.hi = np.zeros(0, np.int64)
-        bucket = self.roll.of(self.anchor, self.anchor + gram)
-        content = mix(self.roll.of(self.lo, self.hi - 1 + width) + (self.anchor - self.lo).astype(np.uint64))
+            self.lo = anchor = self.hi = np.zeros(0, np.int64)
+        # The least of many hashes is small: mixed again, so that buckets are even.
+        bucket = mix(self.roll.of(anchor, anchor + gram) + np.uint64(1))
+        place = np.minimum(np.searchsorted(hot, bucket), max(len(hot) - 1, 0))
+        direct = hot[place] == bucket if len(hot) else np.zeros(len(bucket), bool)
+        run = np.flatnonzero(~direct)
+        self.spots = self.places(np.flatnonzero(direct))
+        own = self.refined(self.spots, width)
+        content = mix(self.roll.of(self.lo[run], self.hi[run] - 1 + width) + (anchor - self.lo)[run].astype(np.uint64))
+        bucket, content = np.concatenate([bucket[run], own]), np.concatenate([content, own])
         order = np.lexsort((content, bucket))
         b, c = bucket[order], content[order]
         new = np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]) if len(b) else np.zeros(0, bool)
         self.bucket, self.content = b[new], c[new]
-        self.entry = np.empty(len(b), np.int64)  # of each run
-        self.entry[order] = np.cumsum(new) - 1
-        self.first = order[new]  # a run of each entry
+        entry = np.empty(len(b), np.int64)
+        entry[order] = np.cumsum(new) - 1
+        self.spot_entry = entry[len(run) :]
+        self.entry = np.full(len(self.lo), -1)  # of each run; -1 where its windows have their own
+        self.entry[run] = entry[: len(run)]
+        self.first = np.append(run, np.full(len(own), -1))[order[new]]  # a run of each entry
         self.several = np.diff(np.append(np.flatnonzero(new), len(b))) > 1
 
     def places(self, which: np.ndarray) -> np.ndarray:
@@ -97,7 +114,7 @@ class Runs:
 
     def windows(self, code: np.ndarray):
         """Sorted distinct windows to settle, whether the chunk has several, and each place's."""
-        runs = self.first[code >= AMBIGUOUS]
+        runs = self.first[code >= AMBIGUOUS]  # windows with an entry of their own are settled
         at = self.places(runs)
         key, back, count = np.unique(self.refined(at, self.width), return_inverse=True, return_counts=True)
         return key, count > 1, at, back, np.repeat(runs, self.hi[runs] - self.lo[runs])
@@ -138,17 +155,35 @@ def _again(arrays: list[np.ndarray], source: np.ndarray) -> list[np.ndarray]:
     return [C.spread(((size > 1) | (np.maximum.reduceat(several[order], begin) > 0)).astype(np.uint8), order, begin)]
 
 
+def hot_buckets(packed: DataFrame, width: int, gram: int, most: int = 1_000_000) -> np.ndarray:
+    """Buckets that would hold more than about most runs of different contents, sorted;
+    judged by a sample of at least 16 chunks and one in a thousand. Their number is at
+    most that of all runs divided by most (on small corpora, some thousand)."""
+    rate = int(np.clip(packed.count() / 16, 1, 1000))
+    least = max(64, most // rate)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in C.chunks_of(batches):
+            bucket, n = np.unique(Runs(chunk, width, gram, np.zeros(0, np.uint64)).bucket, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[n > 1].view(np.int64)), pa.array(n[n > 1])], ["bucket", "n"])
+
+    sample = packed.where(F.pmod(F.xxhash64("chunk_id"), F.lit(rate)) == 0)
+    found = sample.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(found.select("bucket").toArrow().column(0).to_numpy().view(np.uint64))
+
+
 def dedup_suffixes(docs: DataFrame, width: int = 400, gram: int = 50) -> DataFrame:
     """Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
     packed = C.pack(docs)
     bits = C.buckets_for(packed, 8 << 20)
+    hot = docs.sparkSession.sparkContext.broadcast(hot_buckets(packed, width, gram))  # bounded, see there
 
     def ask_runs(chunk: C.Chunk, _):
-        r = Runs(chunk, width, gram)
+        r = Runs(chunk, width, gram, hot.value)
         return r.bucket, [r.bucket, r.content, r.several.astype(np.uint8)]
 
     def ask_windows(chunk: C.Chunk, answers: dict):
-        r = Runs(chunk, width, gram)
+        r = Runs(chunk, width, gram, hot.value)
         key, several, *_ = r.windows(answers[0][0] if 0 in answers else np.zeros(0, np.uint8))
         return key, [key, several.astype(np.uint8)]
 
@@ -156,8 +191,11 @@ def dedup_suffixes(docs: DataFrame, width: int = 400, gram: int = 50) -> DataFra
         n = len(chunk.data)
         gone = np.zeros(n + 1, np.int64)
         if 0 in answers:
-            r, code = Runs(chunk, width, gram), answers[0][0]
-            whole = np.isin(code[r.entry], (REPEATED, WITNESS))
+            r, code = Runs(chunk, width, gram, hot.value), answers[0][0]
+            whole = np.isin(code[r.entry], (REPEATED, WITNESS)) & (r.entry >= 0)
+            spots = r.spots[code[r.spot_entry] == REPEATED]
+            np.add.at(gone, spots, 1)
+            np.subtract.at(gone, spots + width, 1)
             np.add.at(gone, r.lo[whole], 1)
             np.subtract.at(gone, r.hi[whole] - 1 + width, 1)
             if 1 in answers:
