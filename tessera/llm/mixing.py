@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, materialize
+from .common import WORD, materialize, unused
 
 
 def _hash(*parts) -> F.Column:
@@ -37,6 +37,10 @@ def _hash(*parts) -> F.Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def _tie() -> F.Column:
+    return F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+
+
 def targets(sources: DataFrame, share: float, cap: float, weights: tuple[int, ...]) -> DataFrame:
     """sources: source, source_size, n_docs (one row a source). Adds weight and target."""
     every = Window.orderBy(F.col("source").asc_nulls_last())
@@ -95,13 +99,13 @@ def mix_sources(
     shard_docs: int = 250,
     seed: str = "mix",
 ) -> DataFrame:
-    """Columns doc_id, source, size, source_size, target, taken, shard, quota."""
+    """Columns doc_id, source, size, source_size, target, taken, shard, quota, tie (the text's hash)."""
     sized = materialize(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("tie"),
+            _tie().alias("tie"),
         ),
         "mix-sizes",
     )
@@ -134,16 +138,18 @@ def mix_sources(
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("rounds") * F.col("size") + part).cast("long").alias("taken"),
-        F.col("shard").cast("long").alias("shard"), "quota",
+        F.col("shard").cast("long").alias("shard"), "quota", "tie",
     )
 
 
 def repeat_to_mix(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of docs, each as often as the mix takes its words, rounded; every
-    column as it was. Rows without words are not taken. Repeated rows of one doc_id
-    share their mean."""
-    taken = mix_sources(docs, **parameters).groupBy(F.col("doc_id").alias("taken_id")).agg(
-        F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias("times")
+    column as it was. Rows without words are not taken. Rows of one doc_id (or
+    without), source and text share their mean."""
+    own = {c: unused(docs, c) for c in ("taken_id", "taken_source", "taken_text", "times", "time")}
+    taken = mix_sources(docs, **parameters).groupBy(F.col("doc_id").alias(own["taken_id"]), F.col("source").alias(own["taken_source"]), F.col("tie").alias(own["taken_text"])).agg(
+        F.floor(F.sum("taken") / F.greatest(F.sum("size"), F.lit(1)) + 0.5).cast("int").alias(own["times"])
     )
-    joined = docs.join(taken.where("times > 0"), F.col("doc_id").cast("long").eqNullSafe(F.col("taken_id")))
-    return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), "times"))).select(*docs.columns)
+    same = (_tie() == F.col(own["taken_text"])) & F.col("doc_id").cast("long").eqNullSafe(F.col(own["taken_id"])) & F.col("source").cast("string").eqNullSafe(F.col(own["taken_source"]))
+    joined = docs.join(taken.where(F.col(own["times"]) > 0), same)
+    return joined.withColumn(own["time"], F.explode(F.sequence(F.lit(1), F.col(own["times"])))).select(*[docs[c] for c in docs.columns])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Rolling, buffers, byte_codes, id_text, materialize, mix, owner, pieces, small_batches, word_spans
+from .common import Rolling, buffers, byte_codes, id_text, materialize, mix, owner, pieces, small_batches, unused, word_spans
 from .components import components
 from .simhash import fingerprint, link
 
@@ -77,7 +77,7 @@ def bands(doc: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int, seed: int) -> DataFrame:
-    """Columns doc_id, words (hash of the word sequence), fp, size (shingles), bands."""
+    """Columns doc_id, text_key (hash of the text), words (hash of the word sequence), fp, size (shingles), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -88,10 +88,13 @@ def sketches(docs: DataFrame, width: int, seed: int) -> DataFrame:
                 keys = bands(doc, h, batch.num_rows).view(np.int64)
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 size = pa.array(np.bincount(doc, minlength=batch.num_rows), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), size, rows], ["doc_id", "words", "fp", "size", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(2), pa.array(whole.view(np.int64)), pa.array(fp.view(np.int64)), size, rows], ["doc_id", "text_key", "words", "fp", "size", "bands"]
+                )
 
     small_batches(docs.sparkSession)
-    return id_text(docs).where("doc_id is not null").mapInArrow(run, "doc_id long, words long, fp long, size long, bands array<long>")
+    rows = id_text(docs).where("doc_id is not null").withColumn("text_key", F.xxhash64("text"))
+    return rows.mapInArrow(run, "doc_id long, text_key long, words long, fp long, size long, bands array<long>")
 
 
 def candidates(classes: DataFrame, radius: int) -> tuple[DataFrame, DataFrame]:
@@ -230,7 +233,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, similarity: f
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius: int = 2, seed: int = 42) -> DataFrame:
-    """Columns doc_id, component_id (the smallest doc_id of its group)."""
+    """Columns doc_id, text_key, group, component_id (the smallest doc_id of its group)."""
     rows = materialize(sketches(docs, width, seed), "near-sketches")
     classes = materialize(rows.groupBy("words").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")), "near-classes")
     pairs, members = candidates(classes, radius)
@@ -240,16 +243,20 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5, radius
     found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
     grouped = classes.select("words", "doc_id").join(found, F.col("words") == F.col("node"), "left").select("words", "doc_id", F.coalesce("component", "words").alias("group"))
     least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
-    named = materialize(grouped.join(least, "group").select("words", "component_id"), "near-named")
-    return rows.select("doc_id", "words").join(named, "words").select("doc_id", "component_id")
+    named = materialize(grouped.join(least, "group").select("words", "group", "component_id"), "near-named")
+    return rows.select("doc_id", "text_key", "words").join(named, "words").select("doc_id", "text_key", "group", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """One row of each group, a row of its smallest doc_id (of repeated rows of it one
-    stays); every column as it was. Rows without doc_id all stay."""
-    keep = near_copies(docs, similarity, width).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.join(keep, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
-    rest = [c for c, t in docs.dtypes if c != "doc_id" and not t.startswith("map")]
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in rest])
-    one = own.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*docs.columns)
-    return one.union(docs.where(F.col("doc_id").isNull()).select(*docs.columns))
+    """One row of each group, one of its smallest doc_id (where that is repeated, of its
+    least text in the group by hash; of equal rows one stays); every column as it was.
+    Rows without doc_id all stay."""
+    kept_id, kept_text, place = (unused(docs, c) for c in ("kept_id", "kept_text", "place"))
+    least = near_copies(docs, similarity, width).groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("one"))
+    keep = least.select(F.col("one.doc_id").alias(kept_id), F.col("one.text_key").alias(kept_text)).distinct()
+    text = F.xxhash64(F.col("text").cast("string"))
+    own = docs.join(keep, (F.col("doc_id").cast("long") == F.col(kept_id)) & (text == F.col(kept_text)), "left_semi")
+    rest = [docs[c] for c, t in docs.dtypes if c != "doc_id" and not t.startswith("map")]
+    first = Window.partitionBy("doc_id", text).orderBy(*[c.asc_nulls_last() for c in rest])
+    one = own.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return one.union(docs.where(F.col("doc_id").isNull()))

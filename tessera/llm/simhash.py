@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, materialize, small_batches
+from .common import id_text, materialize, small_batches, unused
 from .components import components
 
 
@@ -201,9 +201,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> Da
     """One row of each component, that of its smallest doc_id (of repeated rows of
     it, the first by the other columns); every column as it was. Rows of components
     without an id all stay."""
+    kept_id, place = unused(docs, "kept_id"), unused(docs, "place")
     keep = near_duplicates(docs, radius, width).where("component_id is null or doc_id = component_id")
-    keep = keep.select(F.col("doc_id").alias("kept_id")).distinct()
-    own = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
-    rest = [c for c, t in docs.dtypes if c != "doc_id" and not t.startswith("map")]
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c).asc_nulls_last() for c in rest])
-    return own.withColumn("__row", F.row_number().over(first)).where("__row = 1 or doc_id is null").select(*docs.columns)
+    keep = keep.select(F.col("doc_id").alias(kept_id)).distinct()
+    own = docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
+    rest = [docs[c] for c, t in docs.dtypes if c != "doc_id" and not t.startswith("map")]
+    first = Window.partitionBy("doc_id").orderBy(*[c.asc_nulls_last() for c in rest])
+    named = own.where(F.col("doc_id").isNotNull()).withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).drop(place)
+    return named.union(own.where(F.col("doc_id").isNull()))

@@ -95,6 +95,73 @@ def rules(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
 
 
+def leaks(rows, items, texts=False, share=0.8, width=5):
+    """As the docstring of decontamination says, one row at a time."""
+    from tessera.llm.decontamination import TAILS, UNITS
+
+    capital = lambda c: c.lower() != c
+    digit = lambda c: "0" <= c < ":"
+
+    def template(w):
+        out = []
+        for i, x in enumerate(w):
+            first, second = x[0], x[1:2]
+            if digit(first) or not ("A" <= first < "[" or "a" <= first < "{") and second and digit(second):
+                out.append("<number>")
+            elif out and out[-1] == "<number>" and x.lower() in {u + t for u in UNITS for t in TAILS} and not (capital(first) and not capital(second)):
+                out.append("<unit>")
+            elif capital(first) and not capital(second):
+                out.append("<name>")
+            else:
+                out.append(x.lower())
+        return out
+
+    typed = {"<number>", "<name>", "<unit>"}
+    bare = lambda x: re.sub(r"^[\W_]+|[^\w%]+$", "", x.lower())
+
+    def windows(w, t, n):
+        slots = lambda k: [(t[j], bare(w[j])) for j in range(k, k + n) if t[j] in typed]
+        return [(tuple(t[k : k + n]), k, slots(k)) for k in range(len(t) - n + 1)]
+
+    known = []
+    for item, text in {(i, t) for i, t in items}:
+        w = words(text)
+        if not w:
+            continue
+        own = [x for x in windows(w, template(w), width) if sum(c not in typed for c in x[0]) >= 2]
+        literal = not own
+        if literal:
+            own = windows(w, [x.lower() for x in w], min(len(w), width))
+        known.append((item, literal, own))
+    out = []
+    for doc, text in set(rows):
+        w = words(text)
+        for item, literal, own in known:
+            t = [x.lower() for x in w] if literal else template(w)
+            runs = defaultdict(list)
+            for x, k, slots in windows(w, t, len(own[0][0])):
+                for y, at, theirs in own:
+                    if x == y:
+                        runs[k - at].append((x, [(a[0], a[1], b[1]) for a, b in zip(theirs, slots)] if not literal else []))
+            united, assigned = set(), set()
+            usable = []
+            for shift, hits in runs.items():
+                pairs = {p for _, s in hits for p in s}
+                split = {p[:2] for p in pairs if len({q for q in pairs if q[:2] == p[:2]}) > 1}
+                if any(kind != "<name>" for kind, _ in split):
+                    continue
+                hits = [(x, s) for x, s in hits if not split & {p[:2] for p in s}]
+                if hits:
+                    usable.append((-len({x for x, _ in hits}), shift, {x for x, _ in hits}, {p for _, s in hits for p in s}))
+            for _, _, found, pairs in sorted(usable, key=lambda r: r[:2]):
+                if all(p[:2] != q[:2] or p[2] == q[2] for p in pairs for q in assigned):
+                    united, assigned = united | found, assigned | pairs
+            n = len({x for x, _, _ in own})
+            if len(united) >= share * n:
+                out.append((doc, item, n, len(united), len(united) / n, all(a == b for _, a, b in assigned)) + ((text,) if texts else ()))
+    return out
+
+
 def base_scores(rows):
     toks = lambda t: words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [None]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm import chunks, decontamination, lm_scoring, mixing, quality_model, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_counts
+from tessera.llm import chunks, decontamination, features, lm_scoring, mixing, quality_model, quality_rules, sharding, simhash, substring_dedup, suffix_dedup, token_counts
 from tessera.llm.common import buffers
 from tessera.llm.components import components
 
@@ -54,6 +54,20 @@ def test_substring(docs, rows):
     assert got(substring_dedup.dedup_substrings(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.substring(rows))
 
 
+def test_hot_grams_are_refined_by_window(docs, rows, monkeypatch):
+    hot = lambda packed, width, gram: np.unique(np.concatenate([suffix_dedup.Runs(C, width, gram, np.zeros(0, np.uint64)).bucket[::2] for C in map(chunks.Chunk.of, (r.asDict() for r in packed.collect()))]))
+    monkeypatch.setattr(suffix_dedup, "hot_buckets", hot)
+    assert got(suffix_dedup.dedup_suffixes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix(rows))
+
+
+def test_buckets_of_runs_are_even():
+    rng = random.Random(2)
+    data, off = buffers(pa.array([" ".join(str(rng.random()) for _ in range(2000)) for _ in range(12)]))
+    chunk = chunks.Chunk(0, np.arange(len(off) - 1), np.zeros(len(off) - 1, bool), off, data)
+    own = np.bincount(suffix_dedup.Runs(chunk, 400, 50, np.zeros(0, np.uint64)).bucket >> np.uint64(60), minlength=16)
+    assert own.sum() > 1000 and own.max() < 2 * own.mean()
+
+
 def test_suffix(docs, rows):
     assert got(suffix_dedup.dedup_suffixes(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.suffix(rows))
 
@@ -140,9 +154,15 @@ def test_quality_model_stays_finite_and_learns():
         at = np.concatenate([k * 30_000 + rng.integers(0, 60, n) * 2 + y for k in range(4)])
         at, count = np.unique(at, return_counts=True)
         rows.append((i, y, at.astype("<i4"), (count / n).astype("<f4")))
-    table, bias = quality_model.fit(rows)
-    assert np.isfinite(table).all()
-    assert np.mean([(table[a] @ v + bias > 0) == y for _, y, a, v in rows]) > 0.99
+    for table, bias in (quality_model.fit(features.Rows.of(rows)), quality_rules.fit_calibrated(features.Rows.of(rows))):
+        assert np.isfinite(table).all()
+        assert np.mean([(table[a] @ v + bias > 0) == y for _, y, a, v in rows]) > 0.99
+
+
+def test_features_do_not_depend_on_segments(rows):
+    data, off = buffers(pa.array([t for _, t in rows]))
+    whole = lambda size: sorted((k, d, b) for k, doc, bucket in features.grams(data, off, size) for d, b in zip(doc.tolist(), bucket.tolist()))
+    assert whole(64) == whole(1 << 20)
 
 
 def test_lm(docs, rows):
@@ -175,31 +195,54 @@ def test_shard(docs):
     assert (load.max(0) < 1.02 * load.mean(0)).all()
 
 
-def test_leaks(spark):
+def leak_rows():
     item = "In 1998 the train to Paris leaves with 40 km left and returns after 12 hours of travel by night"
-    other = item.replace("1998", "2004").replace("40", "75").replace("12", "9")
+    anna = "Anna has 5 boxes of pencils in her bag. Anna gives 2 boxes to her friend at school. Anna then buys 7 more boxes on the way home. How many boxes of pencils does she have now?"
+    maria = anna.replace("Anna", "Maria").replace("5", "9").replace("2", "4").replace("7", "3")
+    far = "one red box holds 7 balls and nothing else at all today while the other blue box also holds 7 balls and nothing else at all"
     crossed = "The 7 cats saw 7 dogs near 3 big trees on old farm land today again"
-    docs = spark.createDataFrame(
-        [(1, f"x y z. {item} and more"), (2, f"a b. {other} c"), (3, "nothing of it here at all, only words"), (4, None), (5, ""),
-         (6, crossed.replace("7 cats", "4 cats").replace("7 dogs", "5 dogs")), (7, crossed.replace("7", "8"))], "doc_id long, text string")
-    bench = spark.createDataFrame([(10, item), (11, crossed), (12, None), (13, "")], "item_id long, text string")
-    out = {(r.doc_id, r.item_id): r.verbatim for r in decontamination.find_leaks(docs, bench).collect()}
-    assert out == {(1, 10): True, (2, 10): False, (7, 11): False}
-    assert sorted(r.doc_id for r in decontamination.drop_leaks(docs, bench).collect()) == [3, 4, 5, 6]
-
-
-def test_leaks_with_the_names_that_open_sentences_replaced(spark):
-    item = "Anna has 5 boxes of pencils in her bag. Anna gives 2 boxes to her friend at school. Anna then buys 7 more boxes on the way home. How many boxes of pencils does she have now?"
-    other = item.replace("Anna", "Maria").replace("5", "9").replace("2", "4").replace("7", "3")
-    crossed = other.replace("Maria gives", "Nora gives")
-    twice = "Anna! Anna has 3 red apples here. Anna! Anna ate 2 red apples there before the long day ended."
-    odd = item.replace("Anna has", "Then has").replace("Anna gives", "Now gives")
-    short = "He has 3 apples in total. She has 3 apples in total."
-    texts = [f"x y z. {item} and more", f"x y z. {other} and more", f"x y z {other} and more", f"x y z. {crossed} and more", twice.replace("Anna", "Bob").replace("3", "8"), f"a b. {odd} c", "Maria has other things. Maria gives none of them away.", short]
-    docs = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
-    bench = spark.createDataFrame([(10, item), (11, twice), (12, short)], "item_id long, text string")
-    out = {(r.doc_id, r.item_id): (r.n_windows, r.n_found, r.verbatim) for r in decontamination.find_leaks(docs, bench).collect()}
-    assert out == {(1, 10): (33, 33, True), (2, 10): (33, 33, False), (3, 10): (33, 33, False), (5, 11): (15, 15, False), (6, 10): (33, 27, True), (8, 12): (7, 7, True)}
+    items = [(10, item), (11, crossed), (12, None), (13, ""), (14, anna), (15, "What is four"), (16, "1 2 3 4 5 6 7"), (17, far), (18, anna)]
+    docs = [
+        (1, f"x y z. {item} and more"), (2, "a b. " + item.replace("1998", "2004").replace("40", "75").replace("12", "9") + " c"), (3, "nothing of it here at all, only words"), (4, None), (5, ""),
+        (6, crossed.replace("7 cats", "4 cats").replace("7 dogs", "5 dogs")), (7, crossed.replace("7", "8")), (8, f"x y z. {maria} and more"), (9, maria.replace("Maria gives", "Nora gives")),
+        (20, "so what is four, then, What is four"), (21, "say 1 2 3 4 5 6 7 now"), (22, "say 2 3 4 5 6 7 8 now"), (23, far.replace("7", "3", 1).replace("today", "today and also", 1).replace("7", "9")),
+        (24, far.replace("today", "today and also", 1).replace("7", "9")), (None, item), (None, "fine words only here in this text"), (25, item), (25, "another text of the same id"), (1, f"x y z. {item} and more"),
+    ]
+    return docs, items
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_leaks(spark, limit):
+    rows, items = leak_rows()
+    docs = spark.createDataFrame([(i, t, 7, 7) for i, t in rows], "doc_id long, text string, leaky_id long, times long")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.leaks(rows, items)
+    assert {(1, 10, True), (2, 10, False), (7, 11, False), (8, 14, False), (20, 15, True), (21, 16, True), (None, 10, True)} <= {(r[0], r[1], r[5]) for r in want}
+    assert not {6, 22, 23} & {r[0] for r in want}
+    found = decontamination.find_leaks(docs, bench, broadcast_rows=limit).collect()
+    key = lambda r: tuple((x is None, x) for x in r)
+    assert sorted(map(tuple, found), key=key) == sorted(want, key=key)
+    kept = decontamination.drop_leaks(docs, bench, broadcast_rows=limit)
+    bad = {(r[0], r[6]) for r in brute.leaks(rows, items, True)}
+    assert kept.columns == docs.columns and sorted(str((r.doc_id, r.text)) for r in kept.collect()) == sorted(str(r) for r in rows if r not in bad)
+
+
+@pytest.mark.parametrize("n", [200, 1000])
+def test_shard_keeps_equal_texts_together(spark, n):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(f"doc_id < {n}")
+    out = sharding.shard(docs).toPandas()
+    assert len(out) == n and (out.groupby("group").shard.nunique() == 1).all()
+    load = out.groupby("shard")["size"].sum()
+    assert len(load) == 16 and load.max() < 1.02 * load.mean()
+
+
+def test_shard_splits_a_group_beyond_a_shard(spark):
+    rows = [(i, "copied text") for i in range(400)] + [(7, "copied text")] * 300 + [(None, "copied text")] * 100 + [(1000 + i, f"text {i}") for i in range(800)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 8).toPandas()
+    assert len(out) == len(rows) and sorted(out.doc_id.fillna(-1)) == sorted(-1 if i is None else i for i, _ in rows)
+    for _, slots in out.groupby("shard").slot:
+        assert sorted(slots) == list(range(len(slots)))
+    assert out.groupby("shard")["size"].sum().pipe(lambda x: x.max() < 1.02 * x.mean())
 
 
 def test_empty_and_null_ids(spark, docs, labels):

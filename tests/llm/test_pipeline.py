@@ -1,16 +1,15 @@
 """The pipeline, stage by stage, against plain versions on the smallest tables."""
 
-from collections import Counter, defaultdict
+from collections import Counter
 
+import brute
 import duckdb
 import pytest
-import regex
 from test_near_copies import brute as near_groups
 
 import corpus_pipeline
 from tessera.llm import oracle, quality_rules
 from tessera.llm.common import materialize
-from tessera.llm.decontamination import UNITS
 
 SF = "/root/testdata/sf0.001"
 
@@ -29,52 +28,6 @@ def ids(df):
     return sorted(r.doc_id for r in df.select("doc_id").collect())
 
 
-def template(text):
-    """Template tokens and slot values of a text."""
-    bare = lambda w: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$", "", w)
-    words = [w for w in regex.split(r"[\x20\x09-\x0D]+", text or "") if w]
-    digit = lambda w: w[0] in "0123456789" or (len(w) > 1 and w[1] in "0123456789")
-    kinds = []
-    for i, w in enumerate(words):
-        before = words[i - 1] if i else "."
-        if digit(w):
-            kinds.append("<number>")
-        elif i and digit(before) and bare(w.lower()) in UNITS:
-            kinds.append("<unit>")
-        elif w[0] != w[0].lower() and w[1:2] == w[1:2].lower() and before[-1] not in ".!?:":
-            kinds.append("<name>")
-        else:
-            kinds.append(w.lower())
-    slots = [k + bare(w.lower()) if k[0] == "<" and k[-1] == ">" and len(k) > 5 else None for k, w in zip(kinds, words, strict=True)]
-    spans = [(i, i + 5) for i in range(len(words) - 4)] or ([(0, len(words))] if words else [])
-    return [(tuple(kinds[a:b]), a, [s for s in slots[a:b] if s]) for a, b in spans]
-
-
-def leaky(docs, items):
-    where = defaultdict(list)
-    total = {}
-    for item, text in items:
-        windows = template(text)
-        total[item] = len({w for w, _, _ in windows})
-        for window, at, slots in windows:
-            where[window].append((item, at, slots))
-    out = set()
-    for doc_id, text in docs:
-        runs = defaultdict(lambda: (set(), set()))
-        for window, at, slots in template(text):
-            for item, item_at, item_slots in where[window]:
-                found, pairs = runs[item, at - item_at]
-                found.add(window)
-                pairs.update(zip(item_slots, slots, strict=True))
-        union = defaultdict(set)
-        for (item, _), (found, pairs) in runs.items():
-            if len(pairs) == len({a for a, _ in pairs}):
-                union[item] |= found
-        if any(len(found) >= 0.8 * total[item] for item, found in union.items()):
-            out.add(doc_id)
-    return out
-
-
 def test_stages_keep_the_columns(steps):
     assert all(s.columns == steps[0].columns for s in steps[:-1])
     assert steps[0].count() > steps[1].count() > steps[2].count() >= steps[3].count() > 0
@@ -93,7 +46,7 @@ def test_near_dedup(steps):
 def test_decontaminate(spark, steps):
     rows = [(r.doc_id, r.text) for r in steps[2].select("doc_id", "text").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    bad = leaky(rows, items)
+    bad = {r[0] for r in brute.leaks(rows, items)}
     assert ids(steps[3]) == sorted(i for i, _ in rows if i not in bad)
 
 
