@@ -58,22 +58,50 @@ def _line(a: np.ndarray, axis: int) -> np.ndarray:
 
 
 def sweep_l2(dist: np.ndarray, lab: np.ndarray, axis: int, wrap: bool = False, barrier: np.ndarray | None = None) -> None:
-    """One axis of the squared Euclidean transform, in place; of equally near sources the last wins."""
+    """One axis of the squared Euclidean transform, in place; of equally near sources the
+    last wins. The lower envelope of the sources' parabolas, for all lines at once:
+    each source joins behind those it does not cover, and the places where one takes
+    over from the one before are whole numbers, so ties are exact."""
     d, v = _line(dist, axis), _line(lab, axis)
     n = len(d)
-    best, who = np.full_like(d, FAR), np.zeros_like(v)
-    stop = None if barrier is None else _line(barrier, axis)
-    i = np.arange(n).reshape(-1, *[1] * (d.ndim - 1))
-    for j in range(-n if wrap else 0, 2 * n if wrap else n):
-        seed = d[j % n]
-        if stop is not None:
-            seed = np.where(stop[j % n], FAR, seed)
-        cost = np.where(seed >= FAR, FAR, seed + (i - j) ** 2)
-        take = (cost <= best) & (cost < FAR)
-        best, who = np.where(take, cost, best), np.where(take, v[j % n], who)
+    shape = d.shape
+    f, who = d.reshape(n, -1).copy(), v.reshape(n, -1).copy()
+    stop = None if barrier is None else _line(barrier, axis).reshape(n, -1)
+    if stop is not None:
+        f[stop] = FAR
+    m = f.shape[1]
+    rows = 3 * n if wrap else n
+    held, begin = np.zeros((rows, m), np.int64), np.zeros((rows, m), np.int64)  # by place on the envelope
+    top = np.full(m, -1)
+    for q in range(rows):
+        at = q - n if wrap else q
+        lines = np.flatnonzero(f[at % n] < FAR)
+        own = f[at % n, lines] + at * at
+        while len(lines):
+            k = top[lines]
+            first = k < 0
+            last = held[k, lines]
+            over = own - f[last % n, lines] - last * last
+            # The first place where the new one is at least as near.
+            s = np.where(first, 0, np.maximum(-((-over) // np.maximum(2 * (at - last), 1)), 0))
+            pop = ~first & (s <= begin[k, lines])
+            put = lines[~pop & (s < n)]
+            top[put] += 1
+            held[top[put], put], begin[top[put], put] = at, s[~pop & (s < n)]
+            lines, own = lines[pop], own[pop]
+            top[lines] -= 1
+    # Sources stand in rising order, so the largest that has begun is the nearest.
+    best = np.full((n, m), -rows)
+    place, line = np.nonzero(np.arange(rows)[:, None] <= top)
+    best[begin[place, line], line] = held[place, line]  # no two of a line begin at one place
+    best = np.maximum.accumulate(best, axis=0)
+    some = best > -rows
+    source = np.where(some, best, 0)
+    near = f[source % n, np.arange(m)] + (np.arange(n)[:, None] - source) ** 2
     if stop is not None:
-        best, who = np.where(stop, FAR, best), np.where(stop, 0, who)
-    d[...], v[...] = best, who
+        some &= ~stop
+    d[...] = np.where(some, near, FAR).reshape(shape)
+    v[...] = np.where(some, who[source % n, np.arange(m)], 0).reshape(shape)
 
 
 def sweep_l1(dist: np.ndarray, lab: np.ndarray, axis: int, wrap: bool = False, barrier: np.ndarray | None = None) -> None:
@@ -219,3 +247,30 @@ def clean_labels(lab: np.ndarray, min_area: int = 9, despur: bool = False) -> np
     big = np.bincount(comp.ravel(), minlength=n + 1) >= min_area
     big[0] = False
     return renumber_first_seen(np.where(big[comp], comp, 0))
+
+
+def compact(values: np.ndarray, mask: np.ndarray, first_seen: bool = False) -> np.ndarray:
+    """Labels of the marked pixels as 1..n: negative ones shift so that the least is
+    background, ranks follow the labels, or the first pixels in raster order."""
+    low = min(int(values[mask].min()), 0) if mask.any() else 0
+    lab = np.where(mask, values - low, 0)
+    lab[lab < 0] = 0
+    if first_seen:
+        return renumber_first_seen(lab)
+    out = np.zeros(lab.shape, np.int64)
+    out[lab > 0] = np.unique(lab[lab > 0], return_inverse=True)[1] + 1
+    return out
+
+
+def touching(lab: np.ndarray, table: list[tuple[int, ...]], wrap: bool = False, dist: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """lo, hi and the cost (sum of both ends' dist) of every pixel pair of two labels at these offsets."""
+    los, his, costs = [], [], []
+    for o in table:
+        other = moved(lab, o, 0, wrap)
+        at = np.nonzero((lab > 0) & (other > 0) & (lab != other))
+        a, b = lab[at], other[at]
+        los.append(np.minimum(a, b))
+        his.append(np.maximum(a, b))
+        costs.append(np.zeros(len(a), np.int64) if dist is None else dist[at] + moved(dist, o, 0, wrap)[at])
+    none = [np.zeros(0, np.int64)]
+    return tuple(np.concatenate(none + x) for x in (los, his, costs))

@@ -16,6 +16,16 @@ from tessera.functions.offsets import offsets
 MODES = ("min", "max", "mean", "count", "harmonic", "mean_inv")
 
 
+def mode_of(mode: str | int) -> str:
+    """A mode by its name, another spelling of it, or its number (from 1; 0 is "off");
+    unknown ones mean min."""
+    if not isinstance(mode, str):
+        mode = ("off", *MODES)[mode] if 0 <= mode <= len(MODES) else "min"
+    name = mode.lower()
+    name = "mean_inv" if name == "meaninv" else name
+    return name if name == "off" or name in MODES else "min"
+
+
 def _shifts(table: list[tuple]) -> F.Column:
     return F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"d{k}") for k, v in enumerate(o)]) for o in table])).alias("o")
 
@@ -80,13 +90,13 @@ def reduce_boundary(pixels: DataFrame, axes: tuple[str, ...], conn: int = 1, rad
     ).where(F.col("contact") >= min_contact)
 
 
-def weights(reduced: DataFrame, mode: str = "min") -> DataFrame:
-    """image_id, lo, hi, w. Unknown modes mean min."""
+def weights(reduced: DataFrame, mode: str | int = "min") -> DataFrame:
+    """image_id, lo, hi, w; mode as in mode_of."""
     by = {
         "max": 1 / (1.0 + F.col("high")), "mean": 1 / (1.0 + F.col("mean")), "count": F.col("contact").cast("double"),
         "harmonic": F.col("harmonic"), "mean_inv": F.col("mean_inv"),
     }
-    return reduced.select("image_id", "lo", "hi", by.get(mode, 1 / (1.0 + F.col("low"))).alias("w"))
+    return reduced.select("image_id", "lo", "hi", by.get(mode_of(mode), 1 / (1.0 + F.col("low"))).alias("w"))
 
 
 def face_count(pixels: DataFrame, axes: tuple[str, ...]) -> DataFrame:

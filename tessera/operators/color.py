@@ -3,6 +3,7 @@ list alone, colors back by a join on (image, label)."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import coloring
+from tessera.functions import coloring, kernels
+from tessera.functions.offsets import offsets
 
 from . import adjacency, compact, distance, graphs
+from .images import dense
 
 COLORS = "image_id long, label long, color int"
 
@@ -24,7 +27,8 @@ PALETTE = {(1, 2): 52.0, (1, 3): 104.74, (1, 4): 133.36, (2, 3): 56.28, (2, 4):
 class Colored:
     """pixels: image_id, axes, color (none where the input has none). colors: the
     look-up from label to color. edges: hard ones. conflicts: per image, the number of
-    hard edges with equal ends. soft: per image, soft edges with equal ends."""
+    hard edges with equal ends. soft: per image, soft edges with equal ends. They share
+    cached tables until free() is called."""
 
     pixels: DataFrame
     colors: DataFrame
@@ -32,6 +36,17 @@ class Colored:
     conflicts: DataFrame
     soft: DataFrame
     n_used: DataFrame
+    cached: tuple[DataFrame, ...] = ()
+
+    def free(self) -> None:
+        for table in self.cached:
+            table.unpersist()
+
+    def check(self) -> Colored:
+        """Itself; raises where two neighbours share a color."""
+        if self.conflicts.where("n > 0").limit(1).count():
+            raise ValueError("labels that touch have equal colors")
+        return self
 
 
 def _search(vertices: DataFrame, edges: DataFrame, f) -> DataFrame:
@@ -56,6 +71,16 @@ def greedy_colors(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return _search(vertices, edges, lambda n, rows: coloring.greedy(coloring.graph_of(n, [r[:2] for r in rows])))
 
 
+def _choose(n: int, hard: list, weight: dict, soft: dict, n_colors: int, max_depth: int, ndim: int, wrap: bool, palette: dict | None) -> list[int]:
+    g = coloring.graph_of(n, hard)
+    color = coloring.solve(g, n_colors, max_depth, ndim, wrap)
+    if palette is not None:
+        k = max(n_colors, max(color, default=1))
+        tried = coloring.weighted(g, weight, palette, k)
+        return color if coloring.conflicts(g, tried) else tried
+    return coloring.soften(g, soft, color) if soft else color
+
+
 def color_graph(
     vertices: DataFrame, edges: DataFrame, n_colors: int = 4, max_depth: int = 30, ndim: int = 2, wrap: bool = False,
     palette: dict[tuple[int, int], float] | None = None,
@@ -64,30 +89,137 @@ def color_graph(
     hard edges' weight). A proper coloring of the hard edges, soft ones lowered."""
 
     def search(n: int, rows: list) -> list[int]:
-        hard = [(a, b) for a, b, r in rows if r["is_hard"]]
-        g = coloring.graph_of(n, hard)
-        color = coloring.solve(g, n_colors, max_depth, ndim, wrap)
-        if palette is not None:
-            k = max(n_colors, max(color, default=1))
-            tried = coloring.weighted(g, {(a, b): r["w"] for a, b, r in rows if r["is_hard"]}, palette, k)
-            color = color if coloring.conflicts(g, tried) else tried
+        hard = {(a, b): r["w"] for a, b, r in rows if r["is_hard"]}
         soft = {(a, b): float(r["w"]) for a, b, r in rows if r["is_soft"] and not r["is_hard"]}
-        return coloring.soften(g, soft, color) if soft and palette is None else color
+        return _choose(n, list(hard), hard, soft, n_colors, max_depth, ndim, wrap, palette)
 
     return _search(vertices, edges, search)
 
 
+# Names of the objectives.
+OBJECTIVES = {"max": 1, "max_contrast": 1, "sharp": 1, "min": -1, "min_contrast": -1, "soft": -1, "off": 0, "none": 0}
+
+
+def objective(name: str | int) -> int:
+    """1 for high contrast between neighbours, -1 for low, 0 for none; unknown names mean none."""
+    return OBJECTIVES.get(name.lower(), 0) if isinstance(name, str) else (name > 0) - (name < 0)
+
+
+#: What the kernel gives for each image: colors of labels (kind 0), edges (1), colored pixels (2).
+_KINDS = "image_id long, kind int, lo long, hi long, is_hard boolean, is_soft boolean, color int"
+
+
+def _by_image(pixels: DataFrame, more: DataFrame | None, axes: tuple[str, ...], shape: tuple[int, ...], o: dict) -> DataFrame:
+    """The whole of label() for images that fit in a worker, from one exchange of pixels."""
+    n = len(axes)
+    base = offsets(n, min(o["conn"], n), o["connect_radius"])
+    wide = [x for x in offsets(n, min(o["soft_conn"], n), o["soft_radius"]) if x not in set(base)]
+
+    def pairs(lab: np.ndarray, table: list, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi, _ = kernels.touching(lab, table, o["wrap"])
+        found, count = np.unique(np.stack([lo, hi], 1), axis=0, return_counts=True)
+        return found[count >= least].T
+
+    def weigh(cells: np.ndarray, grown: np.ndarray) -> dict:
+        far = kernels.expand(cells, o["p"], o["wrap"]) if o["expand"] else (cells, np.zeros(cells.shape, np.int64))
+        lo, hi, cost = kernels.touching(far[0], base, o["wrap"], far[1])
+        key, back, count = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True, return_counts=True)
+        back = back.reshape(-1)
+        mode, w = adjacency.mode_of(o["weight_mode"]), None
+        if mode in ("min", "max"):
+            w = np.full(len(key), np.inf if mode == "min" else -np.inf)
+            (np.minimum if mode == "min" else np.maximum).at(w, back, cost)
+            w = 1 / (1 + w)
+        elif mode == "count":
+            w = count.astype(float)
+        else:
+            w = np.bincount(back, cost if mode == "mean" else 1 / (1 + cost), len(key))
+            w = 1 / (1 + w / count) if mode == "mean" else w / count if mode == "mean_inv" else w
+        return {(a - 1, b - 1): x for (a, b), x, c in zip(key.tolist(), w.tolist(), count.tolist(), strict=True) if c >= o["min_contact"]}
+
+    def run(own: pa.Table, extra: pa.Table | None = None) -> pa.Table:
+        image = (own if own.num_rows else extra).column("image_id")[0].as_py()
+        lab = dense(own, axes, shape)
+        mask = np.zeros(shape, bool)
+        mask[tuple(own.column(a).to_numpy() for a in axes)] = True
+        cells = kernels.compact(lab, mask, o["first_seen"]) if o["format_input"] else np.where(lab > 0, lab, 0)
+        names, flat = np.unique(cells, return_inverse=True)
+        small = flat.reshape(shape) + (0 if len(names) and names[0] == 0 else 1)
+        names = names[names > 0]
+        grown = small
+        if o["expand"]:
+            grown = kernels.expand_clean(small, o["p"]) if o["expand_mode"] == "clean" else kernels.expand(small, o["p"], o["wrap"])[0]
+        hard = set(zip(*(x.tolist() for x in pairs(grown, base, o["min_contact"])), strict=True))
+        soft = set(zip(*(x.tolist() for x in pairs(grown, wide)), strict=True)) if wide else set()
+        place = {v: i + 1 for i, v in enumerate(names.tolist())}
+        for r in extra.to_pylist() if extra is not None else []:
+            a, b = place.get(min(r["a"], r["b"])), place.get(max(r["a"], r["b"]))
+            if a and b and a != b:
+                (hard if r["hard"] else soft).add((a, b))
+        zero = lambda e: {(a - 1, b - 1) for a, b in e}
+        if o["palette"] is not None:
+            far = weigh(small, grown)
+            weight, loose = {e: far.get(e, 0.0) for e in zero(hard)}, {}
+        else:
+            near: dict[int, set] = {}
+            for a, b in soft:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+            weight, loose = {}, {(a - 1, b - 1): 1.0 + len(near[a] & near[b]) for a, b in sorted(soft - hard)}
+        color = np.array(_choose(len(names), sorted(zero(hard)), weight, loose, o["n"], o["max_depth"], n, o["wrap"], o["palette"]), np.int32)
+        edges = np.array(sorted(hard | soft), np.int64).reshape(-1, 2)
+        target = np.where(small > 0, grown, 0) if o["clean_mask"] and o["expand"] else small
+        at = np.nonzero(target)
+        m = len(names), len(edges), len(at[0])
+        nulls = lambda k, kind: pa.nulls(k, kind)
+        cat = lambda *parts: pa.chunked_array([p if isinstance(p, pa.Array) else pa.array(p) for p in parts]).combine_chunks()
+        flags = [[tuple(e) in s for e in edges.tolist()] for s in (hard, soft)]
+        columns = {
+            "image_id": np.full(sum(m), image), "kind": np.repeat(np.arange(3, dtype=np.int32), m),
+            "lo": cat(names, names[edges[:, 0] - 1], nulls(m[2], pa.int64())), "hi": cat(nulls(m[0], pa.int64()), names[edges[:, 1] - 1], nulls(m[2], pa.int64())),
+            **{f: cat(nulls(m[0], pa.bool_()), pa.array(x, pa.bool_()), nulls(m[2], pa.bool_())) for f, x in zip(("is_hard", "is_soft"), flags, strict=True)},
+            "color": cat(pa.array(color, pa.int32()), nulls(m[1], pa.int32()), pa.array(color[target[at] - 1] if m[2] else color[:0], pa.int32())),
+            **{a: cat(nulls(m[0] + m[1], pa.int64()), pa.array(p.astype(np.int64))) for a, p in zip(axes, at, strict=True)},
+        }
+        return pa.table(columns)
+
+    schema = ", ".join([_KINDS, *[f"{a} long" for a in axes]])
+    own = pixels.select("image_id", *axes, "label").groupBy("image_id")
+    if more is None:
+        return own.applyInArrow(lambda table: run(table), schema)
+    # Edges of images without pixels have no labels to color.
+    return own.cogroup(more.groupBy("image_id")).applyInArrow(lambda table, extra: run(table, extra), schema)
+
+
 def label(
     pixels: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], n: int = 4, conn: int = 1, max_depth: int = 30, expand: bool = True,
-    format_input: bool = True, p: int = 2, wrap: bool = False, first_seen: bool = False, weight_objective: int = 0,
-    de_table: dict[tuple[int, int], float] | None = None, weight_mode: str = "min", extra_edges: DataFrame | None = None,
+    format_input: bool = True, p: int = 2, wrap: bool = False, first_seen: bool = False, weight_objective: int | str = 0,
+    de_table: dict[tuple[int, int], float] | None = None, weight_mode: str | int = "min", extra_edges: DataFrame | None = None,
     connect_radius: int = 1, min_contact: int = 1, expand_mode: str = "clean", soft_extra_edges: DataFrame | None = None,
-    soft_conn: int = 2, soft_radius: int = 2, clean_mask: bool = False,
+    soft_conn: int = 2, soft_radius: int = 2, clean_mask: bool = False, check_conflicts: bool = False, dense_limit: int = 1 << 24,
 ) -> Colored:
     """Colors labels so that neighbours differ. The graph is that of the expanded
     labels (unless expand is false); the colors go to the input's pixels, with
     clean_mask to those that the clean expansion left. extra_edges and
-    soft_extra_edges hold image_id, a, b in numbers of the formatted labels."""
+    soft_extra_edges hold image_id, a, b in numbers of the formatted labels.
+    check_conflicts raises where neighbours share a color. Images of up to dense_limit
+    pixels are done whole by one task each, larger ones by joins of pixels."""
+    weight_objective = objective(weight_objective) if adjacency.mode_of(weight_mode) != "off" else 0
+    palette = {pair: weight_objective * x for pair, x in (de_table or PALETTE).items()} if weight_objective else None
+    if math.prod(shape) <= dense_limit:
+        parts = [e.where("a > 0 AND b > 0 AND a <> b").select("image_id", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.lit(hard).alias("hard")) for e, hard in ((extra_edges, True), (soft_extra_edges, False)) if e is not None]
+        more = parts[0].union(parts[1]) if len(parts) > 1 else parts[0] if parts else None
+        metric, mode = distance.checked(p, expand_mode)
+        own = {
+            "n": n, "conn": conn, "max_depth": max_depth, "expand": expand, "format_input": format_input, "p": metric, "wrap": wrap, "first_seen": first_seen, "weight_mode": weight_mode,
+            "connect_radius": connect_radius, "min_contact": min_contact, "expand_mode": mode, "soft_conn": soft_conn, "soft_radius": soft_radius, "clean_mask": clean_mask,
+            "palette": palette,
+        }
+        every = _by_image(pixels, more, axes, shape, own).persist()
+        colors = every.where("kind = 0").select("image_id", F.col("lo").alias("label"), "color")
+        edges = every.where("kind = 1").select("image_id", "lo", "hi", "is_hard", "is_soft")
+        out = _colored(every.where("kind = 2").select("image_id", *axes, "color"), colors, edges, (every,))
+        return out.check() if check_conflicts else out
     cells = compact.format_labels(pixels, axes, shape, order_first_seen=first_seen) if format_input else pixels.where("label > 0")
     grown = distance.expand_labels(cells, axes, shape, p, wrap, expand_mode) if expand else cells
     edges = adjacency.hard_and_soft(grown, axes, (conn, connect_radius), (soft_conn, soft_radius), wrap, shape)
@@ -111,16 +243,20 @@ def label(
         w = graphs.triangle_weights(edges.where("is_soft"))
         weighted = edges.join(w, ["image_id", "lo", "hi"], "left").withColumn("w", F.coalesce(F.col("w").cast("double"), F.lit(1.0)))
     vertices = cells.select("image_id", "label").distinct()
-    palette = (de_table or PALETTE) if weight_objective else None
     colors = color_graph(vertices, weighted, n, max_depth, len(axes), wrap, palette).persist()
     target = grown if clean_mask and expand else cells
     if clean_mask and expand:
         target = cells.drop("label").join(grown.select("image_id", *axes, "label"), ["image_id", *axes])
     painted = target.join(colors, ["image_id", "label"]).select("image_id", *axes, "color")
+    out = _colored(painted, colors, edges, (edges, colors))
+    return out.check() if check_conflicts else out
+
+
+def _colored(painted: DataFrame, colors: DataFrame, edges: DataFrame, cached: tuple[DataFrame, ...]) -> Colored:
     hard = edges.where("is_hard").select("image_id", "lo", "hi")
     images = colors.groupBy("image_id").agg(F.max("color").alias("n_used"))
     tally = lambda e: images.join(graphs.soft_penalty(e, colors), "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
-    return Colored(painted, colors, hard, tally(hard), tally(edges.where("is_soft AND NOT is_hard")), images)
+    return Colored(painted, colors, hard, tally(hard), tally(edges.where("is_soft AND NOT is_hard")), images, cached)
 
 
 def anneal(vertices: DataFrame, edges: DataFrame, pairs: DataFrame, n_colors: int = 4, **parameters) -> DataFrame:

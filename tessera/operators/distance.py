@@ -28,15 +28,19 @@ def _metric(p: int | str) -> int:
     return found
 
 
+def checked(p: int | str, mode: str) -> tuple[int, str]:
+    if mode not in ("standard", "clean"):
+        raise ValueError("mode must be standard or clean")
+    return _metric(p), mode
+
+
 def expand_labels(
     pixels: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], p: int | str = 2, wrap: bool = False,
     mode: str = "standard", dense_limit: int = 1 << 24,
 ) -> DataFrame:
     """Every pixel of each image that has a label: label, d (int: squared for p = 2).
     mode="clean" gives labels alone, without stubs and bridges, and ignores wrap."""
-    p = _metric(p)
-    if mode not in ("standard", "clean"):
-        raise ValueError("mode must be standard or clean")
+    p, mode = checked(p, mode)
     pixels = pixels.where("label > 0")
     if mode == "clean":
         return per_image(pixels, axes, shape, "expand_clean", p=p)

@@ -14,27 +14,32 @@ from .images import columns_of, map_images, per_image, schema_of
 
 def delete_spurs(
     pixels: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], hole_threshold: int = 5, mode: str = "cardinal",
-    threshold: int | None = None, max_iter: int = -1, kind: str = "labels", max_iters: int | None = None, remove_thin: bool = False,
+    threshold: int | None = None, max_iter: int = -1, kind: str = "auto", max_iters: int | None = None, remove_thin: bool = False,
 ) -> DataFrame:
     """kind="binary": fill holes of at most hole_threshold pixels, prune pixels with 1
     to threshold - 1 neighbours; label 1 where the mask stays. kind="labels": zero
     pixels with at most threshold (1) same-label faces, at most max_iters (20) rounds,
-    bridges in the first with remove_thin."""
+    bridges in the first with remove_thin. kind="auto": binary for an image (or a
+    relation of booleans) without a label above 1, else labels."""
     if mode not in ("cardinal", "total"):
         raise ValueError("mode must be cardinal or total")
-    if kind == "binary":
-        if remove_thin:
-            raise ValueError("remove_thin is for labels")
-
-        def run(image_id: int, lab: np.ndarray) -> pa.Table:
+    if kind not in ("auto", "binary", "labels"):
+        raise ValueError("kind must be auto, binary or labels")
+    if kind == "binary" and remove_thin:
+        raise ValueError("remove_thin is for labels")
+    rounds = max_iters if max_iters is not None else 20 if max_iter == -1 else max_iter
+    least = 1 if threshold is None else threshold
+
+    def run(image_id: int, lab: np.ndarray) -> pa.Table:
+        if kind == "binary" or kind == "auto" and lab.max(initial=0) <= 1:
+            if remove_thin:
+                raise ValueError("remove_thin is for labels")
             out = kernels.spurs_binary(lab > 0, hole_threshold, mode, threshold, max_iter)
-            return columns_of(image_id, out, axes, label=out.astype(np.int64))
+        else:
+            out = kernels.spurs_labels(lab, least, rounds, remove_thin)
+        return columns_of(image_id, out, axes, label=out.astype(np.int64))
 
-        return map_images(pixels, axes, shape, run, schema_of(axes))
-    if kind != "labels":
-        raise ValueError("kind must be binary or labels")
-    own = {"threshold": 1 if threshold is None else threshold, "max_iters": 20 if max_iters is None else max_iters, "remove_thin": remove_thin}
-    return per_image(pixels, axes, shape, "spurs_labels", **own)
+    return map_images(pixels.withColumn("label", F.col("label").cast("long")), axes, shape, run, schema_of(axes))
 
 
 def core(pixels: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], threshold: int = 1) -> DataFrame:

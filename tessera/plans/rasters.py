@@ -265,7 +265,8 @@ def edge_extra(spark, sf_dir):
     return adjacency.connect(order_boxes(spark, sf_dir), AXES, 1, extra_edges=_extra(spark, sf_dir))
 
 
-@query(f"WITH {_PIXELS} SELECT p.image_id, p.y, p.x, p.label, coalesce(n, 0) AS n FROM pixels p LEFT JOIN ({_same('pixels', _FACES, 'count(*) AS n')}) f USING (image_id, y, x)")
+@query(f"""WITH {_PIXELS}, px AS MATERIALIZED (SELECT * FROM pixels), s AS (SELECT image_id, y + dy AS y, x + dx AS x, label, 1 AS one FROM px, {_values(_FACES, 'dy, dx')} UNION ALL SELECT image_id, y, x, label, 0 FROM px),
+  f AS (SELECT image_id, y, x, label, sum(one) AS n, min(one) AS own FROM s GROUP BY ALL) SELECT image_id, y, x, label, CAST(n AS BIGINT) AS n FROM f WHERE own = 0""")
 def face_count(spark, sf_dir):
     return adjacency.face_count(order_boxes(spark, sf_dir), AXES)
 
@@ -421,7 +422,17 @@ def spurs_binary_total(spark, sf_dir):
     return spurs.delete_spurs(order_boxes(spark, sf_dir), AXES, SHAPE, hole_threshold=0, mode="total", threshold=4, max_iter=3, kind="binary")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PIXELS}, px AS MATERIALIZED (SELECT * FROM pixels),
+  bg AS MATERIALIZED (SELECT g.image_id, g.y, g.x FROM (SELECT image_id, i // 48 AS y, i % 48 AS x FROM (SELECT DISTINCT image_id FROM px), range(2304) r(i)) g
+    ANTI JOIN px USING (image_id, y, x)),
+  runs AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y ORDER BY x) AS h, y - row_number() OVER (PARTITION BY image_id, x ORDER BY y) AS v FROM bg),
+  sized AS (SELECT image_id, y, x, count(*) OVER (PARTITION BY image_id, y, h) AS w, count(*) OVER (PARTITION BY image_id, x, v) AS t FROM runs),
+  narrow AS MATERIALIZED (SELECT image_id, y, x, CAST(1 AS BIGINT) AS label FROM sized WHERE w <= 5 AND t <= 5), {_components('narrow', _FACES)},
+  leak AS (SELECT DISTINCT c.image_id, c.root FROM comps c, {_values(_FACES, 'dy, dx')}, bg b WHERE b.image_id = c.image_id AND b.y = c.y + dy AND b.x = c.x + dx
+    AND NOT EXISTS (SELECT 1 FROM narrow n WHERE n.image_id = b.image_id AND n.y = b.y AND n.x = b.x)),
+  hole AS (SELECT image_id, root FROM comps GROUP BY ALL HAVING count(*) <= 5 AND min(y) > 0 AND max(y) < 47 AND min(x) > 0 AND max(x) < 47)
+  SELECT image_id, y, x, CAST(1 AS BIGINT) AS label FROM px UNION ALL
+  SELECT c.image_id, c.y, c.x, 1 FROM comps c JOIN hole h ON h.image_id = c.image_id AND h.root = c.root ANTI JOIN leak l ON l.image_id = c.image_id AND l.root = c.root""")
 def fill_holes(spark, sf_dir):
     return spurs.delete_spurs(order_boxes(spark, sf_dir), AXES, SHAPE, max_iter=0, kind="binary")
 
@@ -527,53 +538,72 @@ def color_greedy_wp(spark, sf_dir):
 
 
 def _report(out: color.Colored, most: int) -> DataFrame:
-    """What any right answer has in common: no clash, every pixel colored, few colors."""
+    """Each hard edge and whether its ends differ (an image without edges has one row
+    without ends), with what any right answer has in common for the image."""
     px = out.pixels.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pixels"), (F.min("color") >= 1).alias("all_colored"))
     labels = out.colors.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_labels"))
     few = out.n_used.select("image_id", (F.col("n_used") <= most).alias("few_colors"))
-    return px.join(labels, "image_id").join(few, "image_id").join(out.conflicts.withColumnRenamed("n", "n_conflicts"), "image_id")
+    images = px.join(labels, "image_id").join(few, "image_id")
+    same = graphs.conflicts(out.edges, out.colors).select("image_id", "lo", "hi", F.lit(False).alias("differ"))
+    edges = out.edges.join(same, ["image_id", "lo", "hi"], "left").withColumn("differ", F.coalesce("differ", F.lit(True)))
+    return images.join(edges, "image_id", "left")
+
+
+_FMT = f"{_PIXELS}, fmt AS MATERIALIZED (SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY label) AS BIGINT) AS label FROM pixels)"
+_GROWN = f"""{_FMT}, {_expanded(2, source='fmt')}, grown AS MATERIALIZED (SELECT image_id, y, x, label FROM expanded), bad AS MATERIALIZED ({_stubs('grown')}),
+  k AS MATERIALIZED (SELECT * FROM grown g WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.image_id = g.image_id AND b.y = g.y AND b.x = g.x)), {_peel('k', 16, 'c')}"""
 
 
-def _invariant(source: str = _PIXELS) -> str:
-    return f"""WITH {source} SELECT image_id, count(*) AS n_pixels, true AS all_colored, count(DISTINCT label) AS n_labels, true AS few_colors, CAST(0 AS BIGINT) AS n_conflicts
-      FROM pixels GROUP BY ALL"""
+def _colored_sql(source: str, edges: str) -> str:
+    return f"""WITH {source}, every AS MATERIALIZED ({edges}), e AS (SELECT image_id, lo, hi FROM every GROUP BY ALL),
+      i AS (SELECT image_id, count(*) AS n_pixels, true AS all_colored, count(DISTINCT label) AS n_labels, true AS few_colors FROM pixels GROUP BY ALL)
+      SELECT i.*, lo, hi, CASE WHEN lo IS NOT NULL THEN true END AS differ FROM i LEFT JOIN e USING (image_id)"""
 
 
-@query(_invariant())
+@query(_colored_sql(_GROWN, _touching("c15", _offsets(1))))
 def label_full(spark, sf_dir):
     return _report(color.label(order_boxes(spark, sf_dir), AXES, SHAPE), 4)
 
 
-@query(_invariant())
+@query(_colored_sql(_GROWN, _touching("c15", _offsets(1), wrap=True)))
 def label_wrap(spark, sf_dir):
     return _report(color.label(order_boxes(spark, sf_dir), AXES, SHAPE, wrap=True), 7)
 
 
-@query(_invariant())
+@query(_colored_sql(_FMT, _touching("fmt", _offsets(2))))
 def label_unexpanded(spark, sf_dir):
     return _report(color.label(order_boxes(spark, sf_dir), AXES, SHAPE, expand=False, conn=2), 6)
 
 
-@query(_invariant())
+@query(_colored_sql(_FMT, _touching("fmt", _offsets(2))))
+def label_by_joins(spark, sf_dir):
+    return _report(color.label(order_boxes(spark, sf_dir), AXES, SHAPE, expand=False, conn=2, dense_limit=0), 6)
+
+
+@query(_colored_sql(_GROWN, _touching("c15", _offsets(1))))
 def label_weighted(spark, sf_dir):
-    return _report(color.label(order_boxes(spark, sf_dir), AXES, SHAPE, weight_objective=1, weight_mode="harmonic"), 5)
+    return _report(color.label(order_boxes(spark, sf_dir), AXES, SHAPE, weight_objective="max", weight_mode="harmonic"), 5)
 
 
-@query(_invariant(_SOLID))
+@query(f"""WITH {_SOLID} SELECT image_id, count(*) AS n_pixels, true AS all_colored, count(DISTINCT label) AS n_labels, true AS few_colors, CAST(0 AS BIGINT) AS n_conflicts
+  FROM pixels GROUP BY ALL""")
 def label_3d(spark, sf_dir):
-    return _report(color.label(order_boxes(spark, sf_dir, solid=True), AXES_3D, SHAPE_3D, soft_conn=1, soft_radius=1), 12)
+    out = color.label(order_boxes(spark, sf_dir, solid=True), AXES_3D, SHAPE_3D, soft_conn=1, soft_radius=1)
+    images = _report(out, 12).select("image_id", "n_pixels", "all_colored", "n_labels", "few_colors").distinct()
+    return images.join(out.conflicts.withColumnRenamed("n", "n_conflicts"), "image_id")
 
 
-@query(_invariant())
+@query(_colored_sql(_GROWN, f"{_touching('c15', _offsets(1))} UNION ALL SELECT image_id, CAST(1 AS BIGINT), count(DISTINCT label) FROM pixels GROUP BY image_id HAVING count(DISTINCT label) > 1"))
 def label_extra_edges(spark, sf_dir):
     px = order_boxes(spark, sf_dir)
     n = px.groupBy("image_id").agg(F.lit(1).cast("long").alias("a"), F.countDistinct("label").alias("b"))
     return _report(color.label(px, AXES, SHAPE, extra_edges=n), 5)
 
 
-@query()
+@query(f"WITH {_GROWN} SELECT f.image_id, f.y, f.x, true AS colored FROM fmt f JOIN c15 USING (image_id, y, x)")
 def label_clean_mask(spark, sf_dir):
-    return color.label(order_boxes(spark, sf_dir), AXES, SHAPE, clean_mask=True).pixels
+    out = color.label(order_boxes(spark, sf_dir), AXES, SHAPE, clean_mask=True)
+    return out.pixels.select("image_id", "y", "x", F.col("color").between(1, 4).alias("colored"))
 
 
 @query(f"WITH {_PIXELS} SELECT image_id, count(DISTINCT label) AS n_labels, true AS proper FROM pixels GROUP BY ALL")

@@ -48,19 +48,39 @@ def test_components_number_in_raster_order():
     assert K.components(np.zeros((3, 3), int), 1)[1] == 0
 
 
-def test_spur_goldens():
-    row = np.zeros((5, 45), bool)
-    row[2, 2:43] = True
-    assert [int(K.spurs_binary(row, max_iter=n).sum()) for n in (-1, 1, 5)] == [1, 39, 31]
-    block = np.zeros((20, 20), bool)
-    block[2:18, 2:18] = True
-    for (y, x), s in (((4, 4), 1), ((8, 8), 2), ((12, 12), 4)):
-        block[y : y + s, x : x + s] = False
-    assert [int((~K.spurs_binary(block, t))[2:18, 2:18].sum()) for t in (1, 5, 20)] == [20, 16, 0]
-    diagonal = np.eye(7, dtype=int)
-    diagonal[[0, 6], [0, 6]] = 0
-    assert K.spurs_labels(diagonal, remove_thin=True).sum() == 0
-    square = np.pad(np.ones((3, 3), int), 2)
+def spurs_slowly(mask, rounds):
+    mask = mask.copy()
+    while rounds:
+        near = lambda y, x: sum(mask[v, u] for v, u in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)) if 0 <= v < mask.shape[0] and 0 <= u < mask.shape[1])
+        gone = [at for at in np.ndindex(*mask.shape) if mask[at] and near(*at) == 1]
+        if not gone:
+            break
+        for at in gone:
+            mask[at] = False
+        rounds -= 1
+    return mask
+
+
+@pytest.mark.parametrize("rounds", [-1, 1, 3])
+def test_spurs_are_pruned_as_slowly(rounds):
+    mask = np.random.default_rng(5).random((17, 23)) < 0.5
+    assert (K.spurs_binary(mask, 0, max_iter=rounds) == spurs_slowly(mask, rounds)).all()
+
+
+def test_holes_fill_up_to_their_threshold():
+    plate = np.ones((12, 31), bool)
+    for k, n in enumerate((1, 2, 3, 6)):
+        plate[4, 2 + 7 * k : 2 + 7 * k + n] = False
+    assert [int((~K.spurs_binary(plate, t, max_iter=0)).sum()) for t in (0, 1, 2, 5, 6)] == [12, 11, 9, 6, 0]
+
+
+def test_thin_diagonals_go_and_squares_stay():
+    line = np.zeros((8, 8), int)
+    for k in range(1, 7):
+        line[k, 7 - k] = 4
+    assert K.spurs_labels(line, remove_thin=True).sum() == 0
+    square = np.zeros((8, 8), int)
+    square[2:5, 3:6] = 7
     assert (K.spurs_labels(square, remove_thin=True) == square).all()
 
 
@@ -71,8 +91,11 @@ def test_expand_clean_leaves_a_two_core():
 
 
 def test_clean_labels():
-    a = np.array([[0, 1, 0], [0, 0, 2], [2, 2, 2]])
-    assert K.clean_labels(a, 2).tolist() == [[0, 0, 0], [0, 0, 1], [1, 1, 1]]
+    a = np.zeros((6, 8), int)
+    a[0, :5], a[2:4, 1:3], a[5, 7], a[2:6, 5] = 3, 9, 9, 3
+    want = np.zeros((6, 8), int)
+    want[0, :5], want[2:4, 1:3], want[2:6, 5] = 1, 2, 3
+    assert (K.clean_labels(a, 4) == want).all()
 
 
 def test_coloring_search():
