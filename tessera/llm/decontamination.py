@@ -20,7 +20,8 @@ windows are found so; `verbatim` tells whether every slot has the item's own val
 Documents' windows, numbers alone, flow through the join unshuffled while the
 benchmark's are small enough to broadcast, which is measured; beyond that the join is
 a shuffled one on the window's hash. Only matches are aggregated, and only documents
-that hold enough of an item are read again for the words in its slots.
+that hold enough of an item are read again for the words in its slots: by a broadcast
+of their keys while these are few, which is measured, and a shuffled join beyond.
 
 A document is a doc_id with its text: repeated rows are one document, rows that share
 a doc_id or have none are judged by their own texts. Null or empty texts have no
@@ -101,7 +102,7 @@ def _values(codes: F.Column, raw: F.Column, pos: F.Column) -> F.Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """Columns doc_id, item_id, n_windows (of the item), n_found, containment, verbatim:
     one row for each leak (of each text under that doc_id)."""
-    return _leaks(docs, benchmark, share, broadcast_rows).drop("text_key")
+    return _leaks(docs, benchmark, share, broadcast_rows)[0].drop("text_key")
 
 
 def _asked(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
@@ -120,7 +121,8 @@ def _asked(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     return reduce(DataFrame.union, parts), lengths
 
 
-def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, broadcast_rows: int) -> DataFrame:
+def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, broadcast_rows: int) -> tuple[DataFrame, bool]:
+    """The leaks with text_key, and whether they are few enough to broadcast."""
     asked, lengths = _asked(benchmark)
     asked = materialize(asked, "leak-items")
     totals = asked.groupBy("item_id").agg(F.countDistinct("window").alias("n_windows"))
@@ -138,7 +140,9 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, broadcast_rows:
     most = F.size(F.array_distinct(F.transform("hits", lambda h: h["window"])))
     pairs = materialize(pairs.where(most >= share * F.col("n_windows")), "leak-pairs")
     # The words of the documents that may leak; a document without an id is found by its text.
-    again = rows.join(pairs.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).distinct(), (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
+    wanted = pairs.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key")).distinct()
+    few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows
+    again = rows.join(F.broadcast(wanted) if few else wanted, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")), "left_semi")
     again = _coded(again.dropDuplicates(keys), F.col("text")).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "codes", _raw(F.col("text")).alias("raw"))
     both = pairs.join(again, (F.col("text_key") == F.col("own_key")) & F.col("doc_id").eqNullSafe(F.col("own_id")))
     values = lambda h: F.when(h["literal"], F.array().cast(WORDS)).otherwise(_values(F.col("codes"), F.col("raw"), h["doc_pos"]))
@@ -161,17 +165,20 @@ def _leaks(docs: DataFrame, benchmark: DataFrame, share: float, broadcast_rows:
     agree = lambda a, b: F.forall(b, lambda s: F.forall(a, lambda o: ~same(o, s) | (o["doc"] == s["doc"])))
     union = lambda seen, r: F.struct(F.array_union(seen["found"], r["found"]).alias("found"), F.array_union(seen["slots"], r["slots"]).alias("slots"))
     pairs = pairs.withColumn("one", F.aggregate("runs", start, lambda seen, r: F.when(agree(seen["slots"], r["slots"]), union(seen, r)).otherwise(seen)))
-    return (
+    leaks = (
         pairs.select(*keys, "item_id", "n_windows", F.size("one.found").cast("long").alias("n_found"), F.forall("one.slots", lambda s: s["item"] == s["doc"]).alias("verbatim"))
         .withColumn("containment", F.col("n_found") / F.col("n_windows"))
         .where(F.col("containment") >= share)
         .select(*keys, "item_id", "n_windows", "n_found", "containment", "verbatim")
     )
+    return leaks, few
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.8, broadcast_rows: int = 200_000) -> DataFrame:
     """The rows whose text leaks no item, every column as it was."""
     leaky_id, leaky_text = unused(docs, "leaky_id"), unused(docs, "leaky_text")
-    bad = _leaks(docs, benchmark, share, broadcast_rows).select(F.col("doc_id").alias(leaky_id), F.col("text_key").alias(leaky_text)).distinct()
+    leaks, few = _leaks(docs, benchmark, share, broadcast_rows)
+    bad = leaks.select(F.col("doc_id").alias(leaky_id), F.col("text_key").alias(leaky_text)).distinct()
+    bad = F.broadcast(bad) if few else bad
     text = F.xxhash64(F.col("text").cast("string"))
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(leaky_id)) & (text == F.col(leaky_text)), "left_anti")
