@@ -2,15 +2,22 @@
 noise-contrastive estimation.
 
 Token counts of the training documents are gathered over the whole corpus, by an
-exchange of distinct token hashes per chunk. The most frequent words are classes
-of their own, the rest share one; the end of a text is a class too. The model
-predicts a token's class from the two classes before it: the sum of their context
-vectors, times the class's vector, plus its bias. Every partition trains on all
-its training texts from common first weights; the weights are then averaged by
-the number of tokens seen. Scores are normalised exactly: a batched matrix product
-gives all classes' logits for each distinct context of a chunk. A token of the
-shared class has the class's probability times its smoothed share of the class's
-count, so the probabilities of all tokens, unseen ones together, add to one.
+exchange of distinct token hashes per chunk. The N_WORDS most frequent words are
+classes of their own, all others are classes by the hash of their first bytes; the
+end of a text is a class too. A token of a shared class has the class's probability
+times its smoothed share of the class's count, so the probabilities of all tokens,
+those unseen of a class together, add to one.
+
+Training is in two rounds, both on counts over all training tokens, so that it costs
+the same on any corpus once these are summed, and scores do not depend on how rows
+fall into partitions. First, how often each coarse class stands within NEAR words
+before each other one: the model fitted to it gives context vectors, whose clusters
+are the topics. Second, how often each class follows each context, which is the pair
+of the topic most frequent among the last WIDE words and that of the last word. The
+model predicts a class from the sum of the two places' context vectors, times the
+class's vector, plus its bias. There are finitely many contexts, so the noise's share
+of the objective is taken in full instead of by draws, and one matrix product
+normalises the probabilities of all classes after each context exactly.
 
 Nulls: a null text is the end token alone; a null doc_id counts as empty text for
 the fold. Repeated rows count as often as they are there. Without training tokens
@@ -20,7 +27,8 @@ all counts are 0. An empty table gives an empty result; further columns are igno
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +40,14 @@ from .common import Rolling, byte_codes, owner, word_spans
 
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 END = np.uint64(0x5BD1E995C0FFEE11)
-N_WORDS, DIM, NOISE, BATCH = 500, 24, 64, 2048
+#: Words with a class of their own, also in the first round; classes of all others.
+N_WORDS, COARSE_WORDS, N_PREFIX, PREFIX_BYTES = 8192, 512, 1024, 3
+NEAR, WIDE, TOPICS = 4, 16, 16
+#: The model: size of vectors, noise samples for each token, steps of training.
+DIM, NOISE, STEPS = 24, 64, 120
+#: Contexts: topic and last word's topic; one more of each begins a text.
+CONTEXTS = (TOPICS + 1) ** 2
+_SHARED = np.dtype([("total", np.int64), ("types", np.int64)])
 
 
 def held_out(ids: np.ndarray, nulls: np.ndarray, folds: int = 5, fold: int = 1) -> np.ndarray:
@@ -50,157 +65,208 @@ class Tokens:
         words = np.bincount(doc, minlength=n)
         self.stop = np.cumsum(words + 1)  # behind each text's end token
         self.key = np.empty(len(start) + n, np.uint64)
-        self.key[np.arange(len(start)) + doc] = Rolling(byte_codes(data)).of(start, end)
+        rolling = Rolling(byte_codes(data))
+        self.key[np.arange(len(start)) + doc] = rolling.of(start, end)
         self.key[self.stop - 1] = END
+        self.prefix = np.zeros(len(self.key), np.uint16)
+        first = rolling.of(start, np.minimum(end, start + PREFIX_BYTES))
+        self.prefix[np.arange(len(start)) + doc] = first % np.uint64(N_PREFIX)
         self.doc = np.repeat(np.arange(n), words + 1)
         self.held = held_out(chunk.ids, chunk.nulls)
 
-    def classes(self, top: np.ndarray) -> np.ndarray:
-        """Class of each token: its place among the top keys, then the shared class, then the end."""
-        at = np.minimum(np.searchsorted(top, self.key), max(len(top) - 1, 0))
-        found = top[at] == self.key if len(top) else np.zeros(len(self.key), bool)
-        return np.where(self.key == END, len(top) + 1, np.where(found, at, len(top)))
-
-    def contexts(self, cls: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """The classes one and two before; before a text there are ends."""
-        one, two = np.full(len(cls), end), np.full(len(cls), end)
-        one[1:], two[2:] = cls[:-1], cls[:-2]
-        begin = np.concatenate([[0], self.stop[:-1]])
-        two[np.minimum(begin + 1, len(cls) - 1)] = end
-        one[begin], two[begin] = end, end
-        return one, two
-
-
-class LogBilinear:
-    """Vectors of the two context places, class vectors and biases, as one flat array."""
-
-    def __init__(self, flat: np.ndarray, n: int):
-        self.flat, self.n = flat, n
-        self.near, self.far, self.out = flat[: 3 * n * DIM].reshape(3, n, DIM)
-        self.bias = flat[3 * n * DIM :]
-
-    @classmethod
-    def begin(cls, p: np.ndarray, seed: int = 5) -> LogBilinear:
-        n = len(p)
-        rng = np.random.default_rng(seed)
-        return cls(np.concatenate([rng.normal(0, 0.3, 3 * n * DIM), np.log(p)]).astype(np.float32), n)
-
-    def train(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray, p: np.ndarray, grad2: np.ndarray, rng, rate: float = 0.1) -> None:
-        """One pass of noise-contrastive estimation; a batch shares its noise words,
-        each weighing as one of NOISE noise samples of every example."""
-        log_noise = np.log(NOISE * p).astype(np.float32)
-        cum = np.cumsum(p)
-        sums = LogBilinear(grad2, self.n)
-        for s in range(0, len(cls), BATCH):
-            y, a, b = cls[s : s + BATCH], one[s : s + BATCH], two[s : s + BATCH]
-            noise = np.minimum(np.searchsorted(cum, rng.random(NOISE) * cum[-1]), self.n - 1)
-            hidden = self.near[a] + self.far[b]
-            true = self.out[y]
-            good = 1 / (1 + np.exp(np.einsum("ij,ij->i", hidden, true) + self.bias[y] - log_noise[y]))
-            bad = -1 / (1 + np.exp(-(hidden @ self.out[noise].T + (self.bias - log_noise)[noise])))
-            back = good[:, None] * true + bad @ self.out[noise]
-            for table, own, at, g in (
-                (self.near, sums.near, a, back), (self.far, sums.far, b, back), (self.out, sums.out, y, good[:, None] * hidden),
-            ):
-                self._step(table, own, at, g, rate)
-            self._step(self.out, sums.out, noise, bad.T @ hidden, rate)
-            g = np.bincount(y, good, self.n) + np.bincount(noise, bad.sum(0), self.n)
-            sums.bias += g * g
-            self.bias += (rate * g / np.sqrt(sums.bias + 1e-6)).astype(np.float32)
-
-    @staticmethod
-    def _step(table: np.ndarray, own: np.ndarray, at: np.ndarray, g: np.ndarray, rate: float) -> None:
-        order = np.argsort(at, kind="stable")
-        k = at[order]
-        begin = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-        total, k = np.add.reduceat(g[order], begin), k[begin]
-        own[k] += total * total
-        table[k] += rate * total / np.sqrt(own[k] + 1e-6)
-
-    def log10(self, cls: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each class after its context."""
-        pair, back = np.unique(one * self.n + two, return_inverse=True)
-        norm = np.empty(len(pair), np.float64)
-        for s in range(0, len(pair), 4096):
-            a, b = np.divmod(pair[s : s + 4096], self.n)
-            z = (self.near[a] + self.far[b]) @ self.out.T + self.bias
-            top = z.max(1)
-            norm[s : s + 4096] = top + np.log(np.exp(z - top[:, None]).sum(1))
-        logit = np.empty(len(cls), np.float64)
-        for s in range(0, len(cls), 1 << 16):
-            e = s + (1 << 16)
-            logit[s:e] = np.einsum("ij,ij->i", self.near[one[s:e]] + self.far[two[s:e]], self.out[cls[s:e]]) + self.bias[cls[s:e]]
-        return (logit - norm[back]) / np.log(10)
+    def ranks(self, vocab: Vocabulary) -> np.ndarray:
+        """Each token's place among the most frequent words, -1 for all others."""
+        at = np.minimum(np.searchsorted(vocab.key, self.key), max(len(vocab.key) - 1, 0))
+        return np.where(vocab.key[at] == self.key, vocab.rank[at], -1) if len(vocab.key) else np.full(len(self.key), -1)
+
+    def classes(self, vocab: Vocabulary, words: int) -> np.ndarray:
+        """The words most frequent ones by rank, then the shared classes, then the end."""
+        rank = self.ranks(vocab)
+        cls = np.where((rank >= 0) & (rank < words), rank, words + self.prefix.astype(np.int64))
+        cls[self.stop - 1] = words + N_PREFIX
+        return cls
+
+    def contexts(self, topic: np.ndarray) -> np.ndarray:
+        """Each token's context, from the topics of the tokens of its text."""
+        n = len(topic)
+        at = np.arange(n)
+        begin = np.repeat(np.concatenate([[0], self.stop[:-1]]), np.diff(self.stop, prepend=0))
+        low = np.maximum(begin, at - WIDE)
+        best = np.zeros(n, np.int32)  # count and topic; of equal counts the lower topic
+        for k in range(TOPICS):
+            sums = np.concatenate([[0], np.cumsum(topic == k, dtype=np.int32)])
+            np.maximum(best, (sums[at] - sums[low]) * TOPICS + (TOPICS - 1 - k), out=best)
+        wide = TOPICS - 1 - best % TOPICS
+        last = np.concatenate([topic[:1], topic[:-1]])
+        first = at == begin
+        return np.where(first, TOPICS, wide) * (TOPICS + 1) + np.where(first, TOPICS, last)
+
+
+@dataclass
+class Vocabulary:
+    """The most frequent words: sorted hashes and the rank of each."""
+
+    key: np.ndarray
+    rank: np.ndarray
+
+
+def fit(counts: np.ndarray, places: list[np.ndarray], dim: int = DIM, noise: int = NOISE, steps: int = STEPS, seed: int = 5) -> tuple[list[np.ndarray], np.ndarray]:
+    """A log-bilinear model of counts (contexts by classes) by noise-contrastive
+    estimation: contexts are told from noise drawn by the classes' frequencies, noise
+    samples for each token. places gives, for each place of a context, its row in that
+    place's table. Returns the tables and log probabilities, normalised by context."""
+    total = counts.sum(0, dtype=np.float64) + 0.5
+    p = (total / total.sum()).astype(np.float32)
+    weight = (counts + 10 * p).astype(np.float32)  # rare contexts lean to the frequencies
+    weight /= weight.sum(dtype=np.float64)
+    against = weight.sum(1, keepdims=True) * (noise * p)
+    log_noise = np.log(noise * p)
+    rng = np.random.default_rng(seed)
+    tables = [rng.normal(0, 0.1, (at.max() + 1, dim)).astype(np.float32) for at in places]
+    out, bias, own = rng.normal(0, 0.1, (len(p), dim)).astype(np.float32), np.log(p), np.zeros((len(counts), 1), np.float32)
+    values = [*tables, out, bias, own]
+    first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
+    for step in range(1, steps + 1 if counts.any() else 1):
+        hidden = sum(t[at] for t, at in zip(tables, places, strict=True))
+        z = hidden @ out.T
+        z += bias - log_noise + own
+        is_noise = 1 / (1 + np.exp(np.clip(z, -30, 30)))
+        g = (weight + against) * is_noise - against
+        back = g @ out
+        slopes = []
+        for t, at in zip(tables, places, strict=True):
+            slopes.append(np.zeros_like(t))
+            np.add.at(slopes[-1], at, back)
+        slopes += [g.T @ hidden, g.sum(0), g.sum(1, keepdims=True)]
+        rate = 0.1 * min(1, 2 * (1 - (step - 1) / steps))
+        for v, s, a, b in zip(values, slopes, first, second, strict=True):
+            a += 0.1 * (s - a)
+            b += 0.01 * (s * s - b)
+            v += rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-12)
+    z = sum(t[at] for t, at in zip(tables, places, strict=True)) @ out.T + bias
+    z -= z.max(1, keepdims=True)
+    return tables, z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+def cluster(vectors: np.ndarray, weight: np.ndarray, k: int, seed: int = 3) -> np.ndarray:
+    """The k-means cluster of each vector."""
+    rng = np.random.default_rng(seed)
+    centers = vectors[[int(weight.argmax())]]
+    for _ in range(k - 1):
+        far = ((vectors[:, None] - centers[None]) ** 2).sum(2).min(1) * weight
+        pick = rng.choice(len(vectors), p=far / far.sum()) if far.sum() > 0 else 0
+        centers = np.concatenate([centers, vectors[[pick]]])
+    for _ in range(30):
+        own = ((vectors[:, None] - centers[None]) ** 2).sum(2).argmin(1)
+        for c in range(k):
+            if weight[own == c].sum() > 0:
+                centers[c] = np.average(vectors[own == c], axis=0, weights=weight[own == c])
+    return own
 
 
 def _sum_counts(arrays: list[np.ndarray], source: np.ndarray):
-    key, count = arrays
+    key, count, prefix = arrays
     order, begin = C.groups(key)
     if not len(order):
         return [np.zeros(0, np.int64)]
     total = np.add.reduceat(count[order].astype(np.int64), begin)
     known = total > 0
-    own = key[order][begin]
+    own, cls = key[order][begin], prefix[order][begin].astype(np.int64)
     word = known & (own != END)
     best = np.lexsort((own[word], -total[word]))[:N_WORDS]
-    summary = [np.array([known.sum(), total.sum(), total[own == END].sum()], np.int64), own[word][best], total[word][best]]
-    return [C.spread(total, order, begin)], summary
+    shared = [np.bincount(cls[word], w, N_PREFIX).astype(np.int64) for w in (total[word], None)]
+    sums = np.array([known.sum(), total.sum(), total[own == END].sum()], np.int64)
+    return [C.spread(total, order, begin)], [sums, own[word][best], total[word][best], cls[word][best], *shared]
 
 
-def _gather(replies: DataFrame) -> tuple[int, int, int, np.ndarray, np.ndarray]:
-    """Distinct tokens, all tokens, ends, and the most frequent words with their counts."""
+def _gather(replies: DataFrame) -> tuple[int, int, Vocabulary, np.ndarray]:
+    """Distinct tokens, all tokens, the most frequent words, and the counts and distinct
+    words of the shared classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column(0).to_pylist():
-                sums, key, count = unsqueeze_summary(payload)
-                n = len(key) + 1
-                zero = [0] * (n - 1)
-                cols = [[int(sums[0]), *zero], [int(sums[1]), *zero], [int(sums[2]), *zero], [None, *key.view(np.int64).tolist()], [None, *count.tolist()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["v", "n", "e", "key", "count"])
-
-    rows = replies.where("chunk_id = -1").select("payload").mapInArrow(run, "v long, n long, e long, key long, count long")
-    v, n, e = (x or 0 for x in rows.agg(F.sum("v"), F.sum("n"), F.sum("e")).first())
-    best = rows.where("key is not null").orderBy(F.desc("count"), "key").select("key", "count").limit(N_WORDS).toArrow()
-    key, count = (best.column(i).to_numpy() for i in (0, 1))
+                sums, key, count, cls, total, types = C.unsqueeze(payload)
+                # Words, sums of shared classes, sums of all.
+                kind = np.repeat([0, 1, 2], [len(key), N_PREFIX, len(sums)]).astype(np.int32)
+                cols = [np.concatenate(x) for x in ([key.view(np.int64), np.arange(N_PREFIX), np.arange(len(sums))], [count, total, sums], [cls, types, sums])]
+                yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, cols)], ["kind", "key", "n", "m"])
+
+    rows = replies.where("chunk_id = -1").select("payload").mapInArrow(run, "kind int, key long, n long, m long")
+    shared, sums = np.zeros(N_PREFIX, _SHARED), np.zeros(3, np.int64)
+    for r in rows.where("kind > 0").groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).collect():  # of fixed size
+        if r.kind == 1:
+            shared[r.key] = (r.n, r.m)
+        else:
+            sums[r.key] = r.n
+    best = rows.where("kind = 0").orderBy(F.desc("n"), "key").limit(N_WORDS).toArrow()
+    key, n, cls = (best.column(c).to_numpy() for c in ("key", "n", "m"))
+    np.subtract.at(shared["total"], cls, n)
+    np.subtract.at(shared["types"], cls, 1)
     order = np.argsort(key.view(np.uint64), kind="stable")
-    return v, n, e, key.view(np.uint64)[order], count[order]
+    return int(sums[0]), int(sums[1]), Vocabulary(key.view(np.uint64)[order], order), shared
 
 
-def unsqueeze_summary(payload: bytes) -> list[np.ndarray]:
-    return C.unsqueeze(payload)
+def _cells(packed: DataFrame, shape: tuple[int, int], find: Callable) -> DataFrame:
+    """Counts of the cells (row, column) that find(tokens) gives as flat numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(shape[0] * shape[1], np.int64)
+        for chunk in C.chunks_of(batches):
+            for cells in find(Tokens(chunk)):
+                counts += np.bincount(cells, minlength=len(counts))
+        cell = np.flatnonzero(counts)
+        for s in range(0, len(cell), 1 << 17):
+            at = cell[s : s + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["cell", "n"])
+
+    return packed.mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
 
-def _train(packed: DataFrame, top: np.ndarray, p: np.ndarray) -> LogBilinear:
-    first = LogBilinear.begin(p)
+
+def _fitted(cells: DataFrame, shape: tuple[int, int], make: Callable) -> np.ndarray:
+    """What make(counts) gives, made by one task from the summed counts (of fixed size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, grad2, seen = LogBilinear(first.flat.copy(), len(p)), np.zeros(len(first.flat), np.float32), 0
+        counts = np.zeros(shape[0] * shape[1], np.float32)
         for batch in batches:
-            for k in range(batch.num_rows):
-                chunk = C.Chunk.of(batch.slice(k, 1).to_pylist()[0])
-                t = Tokens(chunk)
-                cls = t.classes(top)
-                one, two = t.contexts(cls, len(top) + 1)
-                own = np.flatnonzero(~t.held[t.doc])
-                rng = np.random.default_rng(chunk.id & 0xFFFFFFFF)
-                own = own[rng.permutation(len(own))]
-                model.train(cls[own], one[own], two[own], p, grad2, rng)
-                seen += len(own)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen % 16], pa.int32()), pa.array([(model.flat.astype(np.float64) * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], ["part", "flat", "seen"])
-
-    def add(table: pa.Table) -> pa.Table:
-        flat = sum(np.frombuffer(x, np.float64) for x in table.column("flat").to_pylist())
-        return pa.table({"part": table.column("part")[:1], "flat": pa.array([flat.tobytes()], pa.binary()), "seen": pa.array([sum(table.column("seen").to_pylist())], pa.int64())})
-
-    schema = "part int, flat binary, seen long"
-    # Weights of partitions are added in 16 groups before the driver sees them.
-    rows = packed.mapInArrow(run, schema).groupBy("part").applyInArrow(add, schema).collect()
-    seen = sum(r["seen"] for r in rows)
-    if not seen:
-        return first
-    return LogBilinear((sum(np.frombuffer(bytes(r["flat"]), np.float64) for r in sorted(rows, key=lambda r: r["part"])) / seen).astype(np.float32), len(p))
+            counts[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([C.squeeze(make(counts.reshape(shape)))], pa.binary())], ["made"])
+
+    row = cells.repartition(1).mapInArrow(run, "made binary").first()
+    return C.unsqueeze(bytes(row[0]))[0] if row else make(np.zeros(shape, np.float32))  # Spark drops the task of an empty table
+
+
+def topics(packed: DataFrame, vocab: Vocabulary) -> np.ndarray:
+    """The topic of each coarse class."""
+    n = COARSE_WORDS + N_PREFIX + 1
+
+    def find(t: Tokens) -> Iterator[np.ndarray]:
+        cls = t.classes(vocab, COARSE_WORDS)
+        own = ~t.held[t.doc]
+        for k in range(1, NEAR + 1):
+            both = own[k:] & (t.doc[k:] == t.doc[:-k])
+            yield (cls[:-k] * n + cls[k:])[both]
+
+    def make(counts: np.ndarray) -> np.ndarray:
+        (vectors,), _ = fit(counts, [np.arange(n)])
+        return cluster(vectors, np.sqrt(counts.sum(1)), TOPICS).astype(np.int8)
+
+    return _fitted(_cells(packed, (n, n), find), (n, n), make)
+
+
+def probabilities(packed: DataFrame, vocab: Vocabulary, topic: np.ndarray) -> np.ndarray:
+    """Normalised log probability of each class after each context."""
+    shape = (CONTEXTS, N_WORDS + N_PREFIX + 1)
+
+    def find(t: Tokens) -> Iterator[np.ndarray]:
+        own = ~t.held[t.doc]
+        context = t.contexts(topic[t.classes(vocab, COARSE_WORDS)])
+        yield (context * shape[1] + t.classes(vocab, N_WORDS))[own]
+
+    def make(counts: np.ndarray) -> np.ndarray:
+        return fit(counts, list(np.divmod(np.arange(CONTEXTS), TOPICS + 1)))[1].astype(np.float32).ravel()
+
+    return _fitted(_cells(packed, shape, find), shape, make).reshape(shape)
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
@@ -210,27 +276,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
 
     def ask(chunk: C.Chunk, _):
         t = Tokens(chunk)
-        key, back = np.unique(t.key, return_inverse=True)
-        return key, [key, np.bincount(back, ~t.held[t.doc], len(key)).astype(np.uint32)]
+        key, first, back = np.unique(t.key, return_index=True, return_inverse=True)
+        return key, [key, np.bincount(back, ~t.held[t.doc], len(key)).astype(np.uint32), t.prefix[first]]
 
     counts = C.reply(C.requests(packed, ask, bits), 0, _sum_counts, "token-counts")
-    distinct, total, ends, top, top_count = _gather(counts)
-    rest = total - ends - int(top_count.sum())
-    p = np.concatenate([top_count, [rest], [ends]]) + 0.5
-    p = p / p.sum()
-    model = docs.sparkSession.sparkContext.broadcast((_train(packed, top, p).flat, top))  # of fixed size
-    rest_types = distinct - len(top) - (ends > 0)
+    distinct, total, vocab, shared = _gather(counts)
+    topic = topics(packed, vocab)
+    # Of fixed size.
+    model = docs.sparkSession.sparkContext.broadcast((vocab, shared, topic, probabilities(packed, vocab, topic)))
 
     def result(chunk: C.Chunk, answers: dict) -> dict:
-        flat, best = model.value
+        vocab, shared, topic, table = model.value
         t = Tokens(chunk)
         n = len(chunk.ids)
         _, back = np.unique(t.key, return_inverse=True)
         c = answers[0][0][back] if 0 in answers else np.zeros(len(t.key), np.int64)
-        cls = t.classes(best)
-        own = LogBilinear(flat, len(best) + 2).log10(cls, *t.contexts(cls, len(best) + 1)) if n else np.zeros(0)
-        shared = cls == len(best)
-        own[shared] += np.log10((c[shared] + 0.5) / (rest + 0.5 * (rest_types + 1)))
+        cls = t.classes(vocab, N_WORDS)
+        own = table[t.contexts(topic[t.classes(vocab, COARSE_WORDS)]), cls] / np.log(10)
+        at = np.flatnonzero((cls >= N_WORDS) & (cls < N_WORDS + N_PREFIX))
+        rest = shared[cls[at] - N_WORDS]
+        own[at] += np.log10((c[at] + 0.5) / (rest["total"] + 0.5 * (rest["types"] + 1)))
         base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
         return {
             "doc_id": chunk.id_column(),

@@ -5,8 +5,12 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import xxhash
 
+from tessera.llm import lm_scoring as L
+from tessera.llm.common import Rolling, byte_codes
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -173,3 +177,31 @@ def base_scores(rows):
         (i, held(i), len(toks(t)), sum(count[x] > 0 for x in toks(t)), n, sum(log10((count[x] + 0.5) / (n + 0.5 * (v + 1))) for x in toks(t)))
         for i, t in rows
     ]
+
+
+def model_scores(rows, topic, table):
+    """Each text's log10 probability, token by token; a class stands for the hash of its words' first bytes."""
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    texts = [(i, [w.encode() for w in words(low(t))]) for i, t in rows]
+    count = Counter(w for i, t in texts if zlib.crc32(b"%d" % i) % 5 != 1 for w in t)
+    code = lambda w: int(Rolling(byte_codes(np.frombuffer(w, np.uint8))).of(np.array([0]), np.array([len(w)]))[0])
+    rank = {w: k for k, w in enumerate(sorted(count, key=lambda w: (-count[w], np.uint64(code(w)).view(np.int64)))[: L.N_WORDS])}
+    shared = {}
+    for w in count:
+        if w not in rank:
+            shared.setdefault(code(w[: L.PREFIX_BYTES]) % L.N_PREFIX, []).append(count[w])
+
+    def cls(w, own_classes):
+        return own_classes + L.N_PREFIX if w is None else rank[w] if rank.get(w, own_classes) < own_classes else own_classes + code(w[: L.PREFIX_BYTES]) % L.N_PREFIX
+
+    for i, tokens in texts:
+        score, seen = 0.0, []
+        for w in [*tokens, None]:
+            near = Counter(seen[-L.WIDE :])
+            context = (max(near, key=lambda k: (near[k], -k)), seen[-1]) if seen else (L.TOPICS, L.TOPICS)
+            score += table[context[0] * (L.TOPICS + 1) + context[1], cls(w, L.N_WORDS)] / np.log(10)
+            if w is not None and w not in rank:
+                own = shared.get(code(w[: L.PREFIX_BYTES]) % L.N_PREFIX, [])
+                score += np.log10((count[w] + 0.5) / (sum(own) + 0.5 * (len(own) + 1)))
+            seen.append(int(topic[cls(w, L.COARSE_WORDS)]))
+        yield i, score

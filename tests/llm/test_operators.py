@@ -165,12 +165,30 @@ def test_features_do_not_depend_on_segments(rows):
     assert whole(64) == whole(1 << 20)
 
 
-def test_lm(docs, rows):
+def test_lm(docs, rows, monkeypatch):
+    seen = {}
+    for name in ("_gather", "topics", "probabilities"):
+        f = getattr(lm_scoring, name)
+        monkeypatch.setattr(lm_scoring, name, lambda *a, f=f, name=name: seen.setdefault(name, f(*a)))
     out = {r.doc_id: r for r in lm_scoring.score_texts(docs).collect()}
     for i, held, n, known, total, base in brute.base_scores(rows):
         r = out[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
-        assert r.base_score == pytest.approx(base) and r.score < 0
+        assert r.base_score == pytest.approx(base)
+    assert np.exp(seen["probabilities"]).sum(1) == pytest.approx(1, abs=1e-4)
+    for i, score in brute.model_scores(rows, seen["topics"], seen["probabilities"]):
+        assert out[i].score == pytest.approx(score, rel=1e-5)
+    seen.clear()
+    again = lm_scoring.score_texts(docs.repartition(5)).collect()
+    assert all(r.score == pytest.approx(out[r.doc_id].score, rel=1e-6) for r in again)
+
+
+def test_lm_tells_languages_apart(spark):
+    rng = random.Random(6)
+    words = [[f"{a}{x}" for x in range(60)] for a in ("pa", "qu", "zo")]
+    texts = [" ".join(rng.choices(words[i % 3], k=40)) for i in range(300)]
+    out = lm_scoring.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").selectExpr("sum(score - base_score) / sum(n_tokens) AS gain").first()
+    assert out.gain > 0.3
 
 
 def test_mix(docs):
