@@ -15,7 +15,7 @@ from tessera.functions import coloring, kernels
 from tessera.functions.offsets import offsets
 
 from . import adjacency, compact, distance, graphs
-from .images import dense
+from .images import joined, map_stacks
 
 COLORS = "image_id long, label long, color int"
 
@@ -110,22 +110,45 @@ _KINDS = "image_id long, kind int, lo long, hi long, is_hard boolean, is_soft bo
 
 
 def _by_image(pixels: DataFrame, more: DataFrame | None, axes: tuple[str, ...], shape: tuple[int, ...], o: dict) -> DataFrame:
-    """The whole of label() for images that fit in a worker, from one exchange of pixels."""
+    """The whole of label() for images that fit in a worker, from one exchange of pixels;
+    all but the search is done for a stack of images at once."""
     n = len(axes)
     base = offsets(n, min(o["conn"], n), o["connect_radius"])
     wide = [x for x in offsets(n, min(o["soft_conn"], n), o["soft_radius"]) if x not in set(base)]
 
-    def pairs(lab: np.ndarray, table: list, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        lo, hi, _ = kernels.touching(lab, table, o["wrap"])
-        found, count = np.unique(np.stack([lo, hi], 1), axis=0, return_counts=True)
-        return found[count >= least].T
-
-    def weigh(cells: np.ndarray, grown: np.ndarray) -> dict:
-        far = kernels.expand(cells, o["p"], o["wrap"]) if o["expand"] else (cells, np.zeros(cells.shape, np.int64))
-        lo, hi, cost = kernels.touching(far[0], base, o["wrap"], far[1])
-        key, back, count = np.unique(np.stack([lo, hi], 1), axis=0, return_inverse=True, return_counts=True)
-        back = back.reshape(-1)
-        mode, w = adjacency.mode_of(o["weight_mode"]), None
+    def cells_of(lab: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Stack with the cells of each image numbered from 1, and for all cells their image
+        and their name."""
+        at = np.flatnonzero(mask)
+        of, v = at // lab[0].size, lab.reshape(-1)[at]
+        if o["format_input"]:
+            low = np.zeros(len(lab), np.int64)
+            np.minimum.at(low, of, v)
+            v = v - low[of]
+        at, of, v = at[v > 0], of[v > 0], v[v > 0]
+        value, rank = np.unique(v, return_inverse=True)
+        found, seen, back = np.unique(of * (len(value) + 1) + rank, return_index=True, return_inverse=True)
+        image, name = found // (len(value) + 1), value[found % (len(value) + 1)]
+        start = np.searchsorted(image, image)
+        number = np.arange(len(found)) - start + 1
+        name = number if o["format_input"] else name
+        if o["format_input"] and o["first_seen"]:
+            number = np.argsort(np.lexsort((seen, image))) - start + 1
+        small = np.zeros(lab.shape, np.int64)
+        small.reshape(-1)[at] = number[back]
+        return small, image, name
+
+    def pairs(lab: np.ndarray, table: list, width: int, least: int = 1) -> np.ndarray:
+        image, lo, hi, _ = kernels.touching(lab, table, o["wrap"])
+        found, count = np.unique((image * width + lo) * width + hi, return_counts=True)
+        return found[count >= least]
+
+    def weigh(small: np.ndarray, width: int) -> dict:
+        """The weight of a pair, by the pair's number."""
+        far = kernels.expand(small, o["p"], o["wrap"], stack=True) if o["expand"] else (small, np.zeros(small.shape, np.int64))
+        image, lo, hi, cost = kernels.touching(far[0], base, o["wrap"], far[1])
+        key, back, count = np.unique((image * width + lo) * width + hi, return_inverse=True, return_counts=True)
+        mode = adjacency.mode_of(o["weight_mode"])
         if mode in ("min", "max"):
             w = np.full(len(key), np.inf if mode == "min" else -np.inf)
             (np.minimum if mode == "min" else np.maximum).at(w, back, cost)
@@ -135,60 +158,60 @@ def _by_image(pixels: DataFrame, more: DataFrame | None, axes: tuple[str, ...],
         else:
             w = np.bincount(back, cost if mode == "mean" else 1 / (1 + cost), len(key))
             w = 1 / (1 + w / count) if mode == "mean" else w / count if mode == "mean_inv" else w
-        return {(a - 1, b - 1): x for (a, b), x, c in zip(key.tolist(), w.tolist(), count.tolist(), strict=True) if c >= o["min_contact"]}
-
-    def run(own: pa.Table, extra: pa.Table | None = None) -> pa.Table:
-        image = (own if own.num_rows else extra).column("image_id")[0].as_py()
-        lab = dense(own, axes, shape)
-        mask = np.zeros(shape, bool)
-        mask[tuple(own.column(a).to_numpy() for a in axes)] = True
-        cells = kernels.compact(lab, mask, o["first_seen"]) if o["format_input"] else np.where(lab > 0, lab, 0)
-        names, flat = np.unique(cells, return_inverse=True)
-        small = flat.reshape(shape) + (0 if len(names) and names[0] == 0 else 1)
-        names = names[names > 0]
-        grown = small
+        return {k: x for k, x, c in zip(key.tolist(), w.tolist(), count.tolist(), strict=True) if c >= o["min_contact"]}
+
+    def run(ids: np.ndarray, lab: np.ndarray, mask: np.ndarray, extra: list) -> pa.Table:
+        small, image, name = cells_of(lab, mask)
+        grown, begin = small, np.searchsorted(image, np.arange(len(ids) + 1))
         if o["expand"]:
-            grown = kernels.expand_clean(small, o["p"]) if o["expand_mode"] == "clean" else kernels.expand(small, o["p"], o["wrap"])[0]
-        hard = set(zip(*(x.tolist() for x in pairs(grown, base, o["min_contact"])), strict=True))
-        soft = set(zip(*(x.tolist() for x in pairs(grown, wide)), strict=True)) if wide else set()
-        place = {v: i + 1 for i, v in enumerate(names.tolist())}
-        for r in extra.to_pylist() if extra is not None else []:
-            a, b = place.get(min(r["a"], r["b"])), place.get(max(r["a"], r["b"]))
-            if a and b and a != b:
-                (hard if r["hard"] else soft).add((a, b))
-        zero = lambda e: {(a - 1, b - 1) for a, b in e}
-        if o["palette"] is not None:
-            far = weigh(small, grown)
-            weight, loose = {e: far.get(e, 0.0) for e in zero(hard)}, {}
-        else:
-            near: dict[int, set] = {}
-            for a, b in soft:
-                near.setdefault(a, set()).add(b)
-                near.setdefault(b, set()).add(a)
-            weight, loose = {}, {(a - 1, b - 1): 1.0 + len(near[a] & near[b]) for a, b in sorted(soft - hard)}
-        color = np.array(_choose(len(names), sorted(zero(hard)), weight, loose, o["n"], o["max_depth"], n, o["wrap"], o["palette"]), np.int32)
-        edges = np.array(sorted(hard | soft), np.int64).reshape(-1, 2)
+            grown = kernels.expand_clean(small, o["p"], stack=True) if o["expand_mode"] == "clean" else kernels.expand(small, o["p"], o["wrap"], stack=True)[0]
+        width = int(np.diff(begin).max(initial=0)) + 1
+        hard = pairs(grown, base, width, o["min_contact"])
+        soft = pairs(grown, wide, width) if wide else hard[:0]
+        added: dict[bool, list] = {True: [], False: []}
+        for r in extra:
+            own = name[begin[r["n"]] : begin[r["n"] + 1]]
+            a, b = (int(np.searchsorted(own, v)) for v in sorted((r["a"], r["b"])))
+            if a < b < len(own) and own[a] == min(r["a"], r["b"]) and own[b] == max(r["a"], r["b"]):
+                added[r["hard"]].append((r["n"] * width + a + 1) * width + b + 1)
+        hard, soft = (np.union1d(e, np.array(added[k], np.int64)) for e, k in ((hard, True), (soft, False)))
+        edges = np.union1d(hard, soft)
+        of, a, b = edges // (width * width), edges // width % width - 1, edges % width - 1
+        is_hard, is_soft = np.isin(edges, hard), np.isin(edges, soft)
+        weight = weigh(small, width) if o["palette"] is not None else {}
+        color = np.zeros(len(name), np.int32)
+        ends = np.searchsorted(of, np.arange(len(ids) + 1))
+        for i in range(len(ids)):
+            at = slice(ends[i], ends[i + 1])
+            rows = list(zip(zip(a[at].tolist(), b[at].tolist(), strict=True), is_hard[at].tolist(), is_soft[at].tolist(), edges[at].tolist(), strict=True))
+            mine, loose = [e for e, h, _, _ in rows if h], {}
+            if o["palette"] is None:
+                near: dict[int, set] = {}
+                for (u, v), _, s, _ in rows:
+                    if s:
+                        near.setdefault(u, set()).add(v)
+                        near.setdefault(v, set()).add(u)
+                loose = {(u, v): 1.0 + len(near[u] & near[v]) for (u, v), h, s, _ in rows if s and not h}
+            far = {e: weight.get(k, 0.0) for e, h, _, k in rows if h} if weight else {}
+            color[begin[i] : begin[i + 1]] = _choose(int(begin[i + 1] - begin[i]), mine, far, loose, o["n"], o["max_depth"], n, o["wrap"], o["palette"])
         target = np.where(small > 0, grown, 0) if o["clean_mask"] and o["expand"] else small
-        at = np.nonzero(target)
-        m = len(names), len(edges), len(at[0])
+        at = np.flatnonzero(target)
+        place, area = np.unravel_index(at, target.shape), target[0].size
+        m = len(name), len(edges), len(at)
+        lo, hi = (name[begin[of] + x] if len(edges) else edges for x in (a, b))
         nulls = lambda k, kind: pa.nulls(k, kind)
         cat = lambda *parts: pa.chunked_array([p if isinstance(p, pa.Array) else pa.array(p) for p in parts]).combine_chunks()
-        flags = [[tuple(e) in s for e in edges.tolist()] for s in (hard, soft)]
         columns = {
-            "image_id": np.full(sum(m), image), "kind": np.repeat(np.arange(3, dtype=np.int32), m),
-            "lo": cat(names, names[edges[:, 0] - 1], nulls(m[2], pa.int64())), "hi": cat(nulls(m[0], pa.int64()), names[edges[:, 1] - 1], nulls(m[2], pa.int64())),
-            **{f: cat(nulls(m[0], pa.bool_()), pa.array(x, pa.bool_()), nulls(m[2], pa.bool_())) for f, x in zip(("is_hard", "is_soft"), flags, strict=True)},
-            "color": cat(pa.array(color, pa.int32()), nulls(m[1], pa.int32()), pa.array(color[target[at] - 1] if m[2] else color[:0], pa.int32())),
-            **{a: cat(nulls(m[0] + m[1], pa.int64()), pa.array(p.astype(np.int64))) for a, p in zip(axes, at, strict=True)},
+            "image_id": ids[np.concatenate([image, of, at // area])], "kind": np.repeat(np.arange(3, dtype=np.int32), m),
+            "lo": cat(name, lo, nulls(m[2], pa.int64())), "hi": cat(nulls(m[0], pa.int64()), hi, nulls(m[2], pa.int64())),
+            **{f: cat(nulls(m[0], pa.bool_()), x, nulls(m[2], pa.bool_())) for f, x in (("is_hard", is_hard), ("is_soft", is_soft))},
+            "color": cat(color, nulls(m[1], pa.int32()), color[begin[at // area] + target.reshape(-1)[at] - 1]),
+            **{x: cat(nulls(m[0] + m[1], pa.int64()), p) for x, p in zip(axes, place[1:], strict=True)},
         }
         return pa.table(columns)
 
     schema = ", ".join([_KINDS, *[f"{a} long" for a in axes]])
-    own = pixels.select("image_id", *axes, "label").groupBy("image_id")
-    if more is None:
-        return own.applyInArrow(lambda table: run(table), schema)
-    # Edges of images without pixels have no labels to color.
-    return own.cogroup(more.groupBy("image_id")).applyInArrow(lambda table, extra: run(table, extra), schema)
+    return map_stacks(pixels, axes, shape, run, schema, True, more)
 
 
 def label(
@@ -225,7 +248,7 @@ def label(
     edges = adjacency.hard_and_soft(grown, axes, (conn, connect_radius), (soft_conn, soft_radius), wrap, shape)
     if min_contact > 1:
         enough = adjacency.connect(grown, axes, conn, connect_radius, wrap, shape, min_contact).select("image_id", "lo", "hi", F.lit(True).alias("enough"))
-        edges = edges.join(enough, ["image_id", "lo", "hi"], "left").withColumn("is_hard", F.col("is_hard") & F.col("enough").isNotNull()).drop("enough")
+        edges = joined(edges, enough, ["image_id", "lo", "hi"], "left").withColumn("is_hard", F.col("is_hard") & F.col("enough").isNotNull()).drop("enough")
     for more, hard in ((extra_edges, True), (soft_extra_edges, False)):
         if more is not None:
             own = more.where("a > 0 AND b > 0 AND a <> b").select(
@@ -238,16 +261,16 @@ def label(
         # Distances of a clean or unexpanded graph count as 0 on the cells themselves.
         far = distance.expand_labels(cells, axes, shape, p, wrap) if expand else cells.withColumn("d", F.lit(0).cast("long"))
         w = adjacency.weights(adjacency.reduce_boundary(far, axes, conn, connect_radius, wrap, shape, min_contact), weight_mode)
-        weighted = edges.join(w, ["image_id", "lo", "hi"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        weighted = joined(edges, w, ["image_id", "lo", "hi"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     else:
         w = graphs.triangle_weights(edges.where("is_soft"))
-        weighted = edges.join(w, ["image_id", "lo", "hi"], "left").withColumn("w", F.coalesce(F.col("w").cast("double"), F.lit(1.0)))
+        weighted = joined(edges, w, ["image_id", "lo", "hi"], "left").withColumn("w", F.coalesce(F.col("w").cast("double"), F.lit(1.0)))
     vertices = cells.select("image_id", "label").distinct()
     colors = color_graph(vertices, weighted, n, max_depth, len(axes), wrap, palette).persist()
     target = grown if clean_mask and expand else cells
     if clean_mask and expand:
-        target = cells.drop("label").join(grown.select("image_id", *axes, "label"), ["image_id", *axes])
-    painted = target.join(colors, ["image_id", "label"]).select("image_id", *axes, "color")
+        target = joined(cells.drop("label"), grown.select("image_id", *axes, "label"), ["image_id", *axes])
+    painted = joined(target, colors, ["image_id", "label"]).select("image_id", *axes, "color")
     out = _colored(painted, colors, edges, (edges, colors))
     return out.check() if check_conflicts else out
 
@@ -255,7 +278,7 @@ def label(
 def _colored(painted: DataFrame, colors: DataFrame, edges: DataFrame, cached: tuple[DataFrame, ...]) -> Colored:
     hard = edges.where("is_hard").select("image_id", "lo", "hi")
     images = colors.groupBy("image_id").agg(F.max("color").alias("n_used"))
-    tally = lambda e: images.join(graphs.soft_penalty(e, colors), "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    tally = lambda e: joined(images, graphs.soft_penalty(e, colors), "image_id", "left").select("image_id", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     return Colored(painted, colors, hard, tally(hard), tally(edges.where("is_soft AND NOT is_hard")), images, cached)
 
 

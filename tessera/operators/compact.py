@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .images import per_image
+from .images import joined, per_image
 
 
 def flat_index(axes: tuple[str, ...], shape: tuple[int, ...]) -> F.Column:
@@ -29,13 +29,13 @@ def shift_background(pixels: DataFrame) -> DataFrame:
     """Where an image has negative labels its smallest becomes 0; others stay. An
     image whose pixels all are negative and equal is background throughout."""
     low = pixels.groupBy("image_id").agg(F.least(F.min("label"), F.lit(0)).alias("low"))
-    return pixels.join(low, "image_id").withColumn("label", F.col("label") - F.col("low")).drop("low")
+    return joined(pixels, low, "image_id").withColumn("label", F.col("label") - F.col("low")).drop("low")
 
 
 def _renumber(pixels: DataFrame, order: F.Column) -> DataFrame:
     labels = pixels.where("label > 0").groupBy("image_id", "label").agg(order.alias("at"))
     ranked = labels.select("image_id", "label", F.row_number().over(Window.partitionBy("image_id").orderBy("at")).cast("long").alias("new"))
-    return pixels.where("label > 0").join(ranked, ["image_id", "label"]).drop("label").withColumnRenamed("new", "label").select(*pixels.columns)
+    return joined(pixels.where("label > 0"), ranked, ["image_id", "label"]).drop("label").withColumnRenamed("new", "label").select(*pixels.columns)
 
 
 def ascending(pixels: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Exact Voronoi expansion of labels, on flat or toroidal grids.
 
 Separable: one pass an axis. Small images take one shuffle by image and run all
-passes in a kernel; above `dense_limit` pixels each axis is its own shuffle, by
+passes in a kernel, some images at a time; above `dense_limit` pixels each axis is its own shuffle, by
 blocks of lines, so one huge image is spread too. Either way the last axis goes
 first and ties fall the same.
 """
@@ -9,6 +9,7 @@ first and ties fall the same.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import kernels
+from tessera.functions.offsets import offsets
 
-from .adjacency import neighbours, offsets
-from .images import columns_of, map_images, per_image, schema_of
+from .adjacency import COSTS, boundary_of, face_count, pair_rows, reduce_boundary
+from .images import in_order, map_stacks, rows_of, schema_of, stacks
 
 
 def _metric(p: int | str) -> int:
@@ -43,14 +45,19 @@ def expand_labels(
     p, mode = checked(p, mode)
     pixels = pixels.where("label > 0")
     if mode == "clean":
-        return per_image(pixels, axes, shape, "expand_clean", p=p)
+
+        def clean(ids: np.ndarray, lab: np.ndarray) -> pa.Table:
+            out = kernels.expand_clean(lab, p, stack=True)
+            return rows_of(ids, out, axes, label=out)
+
+        return map_stacks(pixels, axes, shape, clean, schema_of(axes))
     if math.prod(shape) <= dense_limit:
 
-        def run(image_id: int, lab: np.ndarray) -> pa.Table:
-            out, dist = kernels.expand(lab, p, wrap)
-            return columns_of(image_id, out, axes, label=out, d=dist)
+        def run(ids: np.ndarray, lab: np.ndarray) -> pa.Table:
+            out, dist = kernels.expand(lab, p, wrap, stack=True)
+            return rows_of(ids, out, axes, label=out, d=dist)
 
-        return map_images(pixels, axes, shape, run, schema_of(axes, "label long, d long"))
+        return map_stacks(pixels, axes, shape, run, schema_of(axes, "label long, d long"))
     now = pixels.withColumn("d", F.lit(0).cast("long"))
     for k in reversed(range(len(axes))):
         now = _pass(now, axes, shape, k, p, wrap)
@@ -83,35 +90,56 @@ def with_distance(expanded: DataFrame, p: int = 2) -> DataFrame:
     return expanded.withColumn("distance", F.sqrt("d") if p == 2 else F.col("d").cast("double"))
 
 
+def reduce_expanded(
+    pixels: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], conn: int = 1, radius: int = 1, p: int = 2, wrap: bool = False, min_contact: int = 1, dense_limit: int = 1 << 24,
+) -> DataFrame:
+    """reduce_boundary() of the expanded labels. Images of up to dense_limit pixels are
+    expanded and reduced by one kernel, so that their expansion is never exchanged."""
+    if math.prod(shape) > dense_limit:
+        return reduce_boundary(expand_labels(pixels, axes, shape, p, wrap, dense_limit=dense_limit), axes, conn, radius, wrap, shape, min_contact)
+    metric, table = _metric(p), offsets(len(axes), conn, radius)
+
+    def run(ids: np.ndarray, lab: np.ndarray) -> pa.Table:
+        names, code = np.unique(lab, return_inverse=True)
+        out, dist = kernels.expand(code.reshape(lab.shape) + int(names[0] != 0), metric, wrap, stack=True)
+        names = names[names != 0]
+        group, a, b, cost = kernels.touching(out, table, wrap, dist)
+        return pair_rows(ids, len(names) + 1, names, group, a, b, cost)
+
+    return boundary_of(map_stacks(pixels.where("label > 0"), axes, shape, run, COSTS), min_contact)
+
+
 def per_class_min(pixels: DataFrame, class_of: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], p: int = 2, wrap: bool = False) -> DataFrame:
     """class_of: label, class (0 leaves a label out). For each image and class that
     has pixels, the distance of every pixel to it (others are infinitely far: absent)."""
     own = pixels.join(class_of.where("class > 0"), "label").select("image_id", *axes, F.col("class").alias("label"))
 
-    def run(image_id: int, lab: np.ndarray) -> pa.Table:
+    def run(ids: np.ndarray, lab: np.ndarray) -> pa.Table:
         parts = []
         for c in np.unique(lab[lab > 0]).tolist():
-            out, dist = kernels.expand(np.where(lab == c, c, 0), p, wrap)
+            out, dist = kernels.expand(np.where(lab == c, c, 0), p, wrap, stack=True)
             root = np.sqrt(dist.astype(float)) if p == 2 else dist.astype(float)
-            parts.append(columns_of(image_id, out, axes, **{"class": out, "distance": root}))
+            parts.append(rows_of(ids, out, axes, **{"class": out, "distance": root}))
         return pa.concat_tables(parts)
 
-    return map_images(own, axes, shape, run, schema_of(axes, "class long, distance double"))
+    return map_stacks(own, axes, shape, run, schema_of(axes, "class long, distance double"))
 
 
 def nearest_pairs(pixels: DataFrame, axes: tuple[str, ...], p: int = 2, wrap: bool = False, shape=None) -> DataFrame:
     """image_id, lo, hi, distance: the least pixel distance of any two labels of an
     image. Only border pixels (with a face neighbour of another label or none) can be
-    nearest, so only they meet, by image and pair of labels."""
-    near = neighbours(pixels, axes, offsets(len(axes), 1, both=True), shape, wrap).where("a_label = b_label")
-    inner = near.groupBy("image_id", *axes).count().where(F.col("count") == 2 * len(axes)).drop("count")
-    rim = pixels.select("image_id", *axes, "label").join(inner, ["image_id", *axes], "left_anti")
-    a = rim.select("image_id", F.col("label").alias("lo"), *[F.col(x).alias(f"a_{x}") for x in axes])
-    b = rim.select("image_id", F.col("label").alias("hi"), *[F.col(x).alias(f"b_{x}") for x in axes])
-    d = F.lit(0).cast("long")
-    for k, x in enumerate(axes):
-        gap = F.abs(F.col(f"a_{x}") - F.col(f"b_{x}"))
-        gap = F.least(gap, F.lit(shape[k]) - gap) if wrap else gap
-        d = d + (gap * gap if p == 2 else gap)
-    least = a.join(b, "image_id").where("lo < hi").groupBy("image_id", "lo", "hi").agg(F.min(d).alias("d"))
+    nearest, so only they meet: those of some labels at a time with all of larger ones."""
+    count = face_count(pixels, axes, shape, wrap)
+    rim = count.where(F.col("n") < 2 * len(axes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in stacks(batches, 1):
+            ids, label = table.column("image_id").to_numpy(), table.column("label").to_numpy()
+            pos = np.stack([table.column(a).to_numpy() for a in axes])
+            for i, j in zip(begin, [*begin[1:], table.num_rows], strict=True):
+                order = np.argsort(label[i:j], kind="stable") + i
+                for lo, hi, d in kernels.nearest(label[order], pos[:, order], p, shape if wrap else None):
+                    yield pa.RecordBatch.from_pydict({"image_id": np.full(len(lo), ids[i]), "lo": lo, "hi": hi, "d": d})
+
+    least = in_order(rim, ("image_id",), *axes, "label").mapInArrow(run, "image_id long, lo long, hi long, d long")
     return least.select("image_id", "lo", "hi", (F.sqrt("d") if p == 2 else F.col("d").cast("double")).alias("distance"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .images import joined
+
 
 def symmetric(edges: DataFrame, *values: str) -> DataFrame:
     """image_id, u, v and the given columns, in both directions."""
@@ -21,25 +23,25 @@ def two_hop(edges: DataFrame) -> DataFrame:
     """image_id, u, v: vertices at distance exactly two, both directions."""
     s = symmetric(edges).distinct()
     first, second = s.withColumnRenamed("v", "m"), s.withColumnsRenamed({"u": "m"})
-    two = first.join(second, ["image_id", "m"]).where("u <> v").select("image_id", "u", "v")
-    return two.distinct().join(s, ["image_id", "u", "v"], "left_anti")
+    two = joined(first, second, ["image_id", "m"]).where("u <> v").select("image_id", "u", "v")
+    return joined(two.distinct(), s, ["image_id", "u", "v"], "left_anti")
 
 
 def conflicts(edges: DataFrame, colors: DataFrame) -> DataFrame:
     """Edges whose ends share a color (image_id, lo, hi, color)."""
     c = colors.select("image_id", "label", "color")
-    one = edges.join(c.withColumnsRenamed({"label": "lo", "color": "color"}), ["image_id", "lo"])
+    one = joined(edges, c.withColumnsRenamed({"label": "lo", "color": "color"}), ["image_id", "lo"])
     two = c.withColumnsRenamed({"label": "hi", "color": "color_hi"})
-    return one.join(two, ["image_id", "hi"]).where("color = color_hi").select("image_id", "lo", "hi", "color")
+    return joined(one, two, ["image_id", "hi"]).where("color = color_hi").select("image_id", "lo", "hi", "color")
 
 
 def triangle_weights(edges: DataFrame) -> DataFrame:
     """image_id, lo, hi, w: one more than the number of common neighbours."""
     s = symmetric(edges).distinct()
     a, b = s.withColumnsRenamed({"u": "lo", "v": "m"}), s.withColumnsRenamed({"u": "hi", "v": "m"})
-    common = edges.select("image_id", "lo", "hi").join(a, ["image_id", "lo"]).join(b, ["image_id", "hi", "m"])
+    common = joined(joined(edges.select("image_id", "lo", "hi"), a, ["image_id", "lo"]), b, ["image_id", "hi", "m"])
     n = common.groupBy("image_id", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    return edges.select("image_id", "lo", "hi").join(n, ["image_id", "lo", "hi"], "left").select("image_id", "lo", "hi", (1 + F.coalesce("n", F.lit(0))).cast("long").alias("w"))
+    return joined(edges.select("image_id", "lo", "hi"), n, ["image_id", "lo", "hi"], "left").select("image_id", "lo", "hi", (1 + F.coalesce("n", F.lit(0))).cast("long").alias("w"))
 
 
 def cliques(edges: DataFrame, k: int) -> DataFrame:
@@ -49,9 +51,9 @@ def cliques(edges: DataFrame, k: int) -> DataFrame:
     e = edges.select("image_id", "lo", "hi").distinct()
     now = e.withColumnsRenamed({"lo": "v1", "hi": "v2"})
     for n in range(3, k + 1):
-        now = now.join(e.withColumnsRenamed({"lo": f"v{n - 1}", "hi": f"v{n}"}), ["image_id", f"v{n - 1}"])
+        now = joined(now, e.withColumnsRenamed({"lo": f"v{n - 1}", "hi": f"v{n}"}), ["image_id", f"v{n - 1}"])
         for i in range(1, n - 1):
-            now = now.join(e.withColumnsRenamed({"lo": f"v{i}", "hi": f"v{n}"}), ["image_id", f"v{i}", f"v{n}"], "left_semi")
+            now = joined(now, e.withColumnsRenamed({"lo": f"v{i}", "hi": f"v{n}"}), ["image_id", f"v{i}", f"v{n}"], "left_semi")
     return now.select("image_id", *[f"v{i}" for i in range(1, k + 1)])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 
-from .images import columns_of, map_images, schema_of
+from .images import columns_of, joined, map_images, schema_of
 
 
 def connected_components(pixels: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], conn: int = 2, per_label: bool = False) -> DataFrame:
@@ -38,7 +38,7 @@ def regionprops(pixels: DataFrame, axes: tuple[str, ...], n_labels: int = 0) ->
     own = pixels.where("label > 0").groupBy("image_id", "label").agg(*stats)
     top = F.lit(n_labels).cast("long") if n_labels else F.max("label")
     every = own.groupBy("image_id").agg(top.alias("n")).select("image_id", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("label"))
-    return every.join(own, ["image_id", "label"], "left").na.fill(0)
+    return joined(every, own, ["image_id", "label"], "left").na.fill(0)
 
 
 def geometry(pixels: DataFrame, axes: tuple[str, ...] = ("y", "x")) -> DataFrame:

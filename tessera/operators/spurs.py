@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import kernels
 
-from .images import columns_of, map_images, per_image, schema_of
+from .images import columns_of, joined, map_images, per_image, schema_of
 
 
 def delete_spurs(
@@ -51,4 +51,4 @@ def removed(before: DataFrame, after: DataFrame) -> DataFrame:
     """image_id, n_removed."""
     a = before.groupBy("image_id").agg(F.count(F.lit(1)).alias("a"))
     b = after.groupBy("image_id").agg(F.count(F.lit(1)).alias("b"))
-    return a.join(b, "image_id", "left").select("image_id", (F.col("a") - F.coalesce("b", F.lit(0))).alias("n_removed"))
+    return joined(a, b, "image_id", "left").select("image_id", (F.col("a") - F.coalesce("b", F.lit(0))).alias("n_removed"))

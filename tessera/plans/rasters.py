@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import adjacency, color, compact, distance, graphs, regions, spurs
+from tessera.operators.images import joined, whole
 from tessera.sources.rasters import AXES, AXES_3D, SHAPE, SHAPE_3D, order_boxes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,11 +134,8 @@ def raster_pixels(spark, sf_dir):
 @query(f"""WITH {_PIXELS}, dense AS (SELECT image_id, i // 48 AS y, i % 48 AS x FROM (SELECT DISTINCT image_id FROM pixels), range(2304) r(i))
   SELECT image_id, y, x, CAST(coalesce(label, 0) AS INT) AS label, label IS NULL AS is_background FROM dense LEFT JOIN pixels USING (image_id, y, x)""")
 def raster_cast_bg(spark, sf_dir):
-    px = order_boxes(spark, sf_dir)
-    grid = px.select("image_id").distinct().select("image_id", F.explode(F.sequence(F.lit(0), F.lit(H * W - 1))).alias("i"))
-    grid = grid.selectExpr("image_id", f"CAST(i DIV {W} AS BIGINT) AS y", f"CAST(i % {W} AS BIGINT) AS x")
-    both = grid.join(px, ["image_id", "y", "x"], "left").withColumn("label", F.coalesce("label", F.lit(0)).cast("int"))
-    return both.withColumn("is_background", F.col("label") == 0)
+    every = whole(order_boxes(spark, sf_dir), AXES, SHAPE).withColumn("label", F.col("label").cast("int"))
+    return every.withColumn("is_background", F.col("label") == 0)
 
 
 # ---- compaction -------------------------------------------------------------
@@ -225,8 +223,8 @@ def _weight_sql(value: str) -> str:
 
 def _weight_query(mode: str, value: str) -> None:
     def run(spark, sf_dir):
-        grown = distance.expand_labels(order_boxes(spark, sf_dir), AXES, SHAPE)
-        return adjacency.weights(adjacency.reduce_boundary(grown, AXES), mode).withColumn("w", F.round("w", 9))
+        reduced = distance.reduce_expanded(order_boxes(spark, sf_dir), AXES, SHAPE)
+        return adjacency.weights(reduced, mode).withColumn("w", F.round("w", 9))
 
     run.__name__ = f"edge_weight_{mode.replace('_', '')}"
     query(_weight_sql(value))(run)
@@ -276,7 +274,7 @@ def face_count(spark, sf_dir):
   SELECT image_id, lo, hi, contact, faces FROM e JOIN s USING (image_id)""")
 def pairs_with_face_count(spark, sf_dir):
     pairs, faces = adjacency.pairs_with_faces(order_boxes(spark, sf_dir), AXES)
-    return pairs.join(faces.groupBy("image_id").agg(F.sum("n").alias("faces")), "image_id")
+    return joined(pairs, faces.groupBy("image_id").agg(F.sum("n").alias("faces")), "image_id")
 
 
 # ---- regions ----------------------------------------------------------------
@@ -543,10 +541,10 @@ def _report(out: color.Colored, most: int) -> DataFrame:
     px = out.pixels.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_pixels"), (F.min("color") >= 1).alias("all_colored"))
     labels = out.colors.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_labels"))
     few = out.n_used.select("image_id", (F.col("n_used") <= most).alias("few_colors"))
-    images = px.join(labels, "image_id").join(few, "image_id")
+    images = joined(joined(px, labels, "image_id"), few, "image_id")
     same = graphs.conflicts(out.edges, out.colors).select("image_id", "lo", "hi", F.lit(False).alias("differ"))
-    edges = out.edges.join(same, ["image_id", "lo", "hi"], "left").withColumn("differ", F.coalesce("differ", F.lit(True)))
-    return images.join(edges, "image_id", "left")
+    edges = joined(out.edges, same, ["image_id", "lo", "hi"], "left").withColumn("differ", F.coalesce("differ", F.lit(True)))
+    return joined(images, edges, "image_id", "left")
 
 
 _FMT = f"{_PIXELS}, fmt AS MATERIALIZED (SELECT image_id, y, x, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY label) AS BIGINT) AS label FROM pixels)"
@@ -590,7 +588,7 @@ def label_weighted(spark, sf_dir):
 def label_3d(spark, sf_dir):
     out = color.label(order_boxes(spark, sf_dir, solid=True), AXES_3D, SHAPE_3D, soft_conn=1, soft_radius=1)
     images = _report(out, 12).select("image_id", "n_pixels", "all_colored", "n_labels", "few_colors").distinct()
-    return images.join(out.conflicts.withColumnRenamed("n", "n_conflicts"), "image_id")
+    return joined(images, out.conflicts.withColumnRenamed("n", "n_conflicts"), "image_id")
 
 
 @query(_colored_sql(_GROWN, f"{_touching('c15', _offsets(1))} UNION ALL SELECT image_id, CAST(1 AS BIGINT), count(DISTINCT label) FROM pixels GROUP BY image_id HAVING count(DISTINCT label) > 1"))
@@ -614,4 +612,4 @@ def kempe_anneal(spark, sf_dir):
     colors = color.anneal(cells, edges, pairs, steps=300, patience=100)
     bad = graphs.conflicts(edges, colors).groupBy("image_id").agg(F.count(F.lit(1)).alias("bad"))
     n = colors.groupBy("image_id").agg(F.count(F.lit(1)).alias("n_labels"))
-    return n.join(bad, "image_id", "left").select("image_id", "n_labels", F.col("bad").isNull().alias("proper"))
+    return joined(n, bad, "image_id", "left").select("image_id", "n_labels", F.col("bad").isNull().alias("proper"))

@@ -16,10 +16,14 @@ INTEGER = {"tinyint", "smallint", "int", "bigint"}
 
 
 def order_boxes(spark: SparkSession, sf_dir: str, solid: bool = False) -> DataFrame:
-    """Each order is a box of its image; where boxes overlap, the largest label wins."""
+    """Each order is a box of its image; where boxes overlap, the largest label wins.
+    Boxes are dealt by image before they become pixels, which then lie by image without
+    an exchange of their own. The number of partitions is given, as the plan sees only
+    the bytes of boxes and would merge them into few."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    o = o.withColumn("image_id", F.expr("o_orderkey DIV 64")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "image_id")
     cells = o.selectExpr(
-        "o_orderkey DIV 64 AS image_id", "o_orderkey % 64 + 1 AS label",
+        "image_id", "o_orderkey % 64 + 1 AS label",
         "(o_orderkey * 7919 + o_custkey * 31) % 44 AS y0", "(o_orderkey * 104729 + o_custkey * 17) % 44 AS x0",
         "2 + o_custkey % 3 AS h", "2 + o_orderkey % 4 AS w", "o_custkey % 12 AS z0", "1 + o_orderkey % 2 AS t",
     )
