@@ -4,8 +4,8 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.functions import kernels
-from tessera.operators import adjacency, distance, images
+from tessera.functions import coloring, kernels
+from tessera.operators import adjacency, color, distance, images
 from tessera.plans.rasters import QUERIES
 
 from test_rasters import SF, image, pixels
@@ -134,3 +134,82 @@ def test_short_and_long_lines_agree(monkeypatch, wrap):
                 kernels.sweep_l2(d, own, axis, wrap, barrier)
             out.append((own.tolist(), d.tolist()))
         assert out[0] == out[1]
+
+
+def test_colors_beyond_a_proof_are_those_of_the_whole_search(monkeypatch):
+    graphs = []
+    for seed in range(12):
+        rng = np.random.default_rng(seed)
+        n = int(rng.integers(5, 40))
+        graphs.append(coloring.graph_of(n, rng.integers(0, n, (int(rng.integers(1, 5)) * n, 2)).tolist()))
+    found = [coloring.solve(g, 4, ndim=3) for g in graphs]
+    for g, own in zip(graphs, found):
+        assert not coloring.uncolorable(g, max(own), 20_000) and not coloring.conflicts(g, own)
+    monkeypatch.setattr(coloring, "PROOF", 0, raising=False)
+    assert [coloring.solve(g, 4, ndim=3) for g in graphs] == found
+
+
+def test_what_cannot_be_colored_is_proven_quickly():
+    k6 = [(a, b) for a in range(6) for b in range(a)]
+    tail = [(i, i + 1) for i in range(5, 60)]
+    g = coloring.graph_of(61, k6 + tail)
+    assert coloring.uncolorable(g, 5, 200) and not coloring.uncolorable(g, 6, 200) and not coloring.uncolorable(g, 5, 3)
+
+
+def plain_loss(g, hops, pairs, color):
+    return sum(color[u] == color[v] for u in range(len(g)) for v in hops[u] if u < v) + 50 * sum(w for (a, b), w in pairs.items() if color[a] == color[b])
+
+
+def test_the_loss_of_annealing_is_kept_exactly():
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        n = 30
+        g = coloring.graph_of(n, rng.integers(0, n, (45, 2)).tolist())
+        hops = [sorted({w for v in g[u] for w in g[v] if w != u} - set(g[u])) for u in range(n)]
+        pairs = {(int(a), int(b)): float(w) for a, b, w in zip(*rng.integers(0, n, (2, 20)), rng.random(20)) if a < b and b not in g[a]}
+        start = coloring.solve(g)
+        own, loss = coloring.anneal(g, hops, pairs, start, max(4, max(start)))
+        assert not coloring.conflicts(g, own) and abs(loss - plain_loss(g, hops, pairs, own)) < 1e-9
+        assert loss <= plain_loss(g, hops, pairs, start)
+
+
+def test_annealing_takes_its_whole_course(spark, monkeypatch):
+    took = []
+    monkeypatch.setattr(color, "anneal", lambda *a, **b: took.append(b) or real(*a, **b))
+    QUERIES["kempe_anneal"](spark, SF)
+    assert took == [{}]
+
+
+real = color.anneal
+
+
+def test_peeling_by_rounds():
+    for seed in range(6):
+        lab = np.where(image(seed, (2, 13, 15)) > 1, image(seed + 9, (2, 13, 15), 3), 0)
+        for rounds in (0, 1, 2, -1):
+            slow, left = lab.copy(), rounds
+            while left:
+                same = sum((kernels.moved(slow, o, 0) == slow).astype(int) for o in ((0, 0, 1), (0, 0, -1), (0, 1, 0), (0, -1, 0)))
+                gone = (slow != 0) & (same <= 1)
+                if not gone.any():
+                    break
+                slow[gone] = 0
+                left -= 1
+            assert (kernels.peel(lab, 1, (1, 2), rounds) == slow).all()
+
+
+@pytest.mark.parametrize("shape", [(3, 12, 13), (2, 6, 9, 8)])
+def test_a_stack_expands_as_its_images(shape):
+    lab = np.where(image(4, shape) > 4, image(5, shape, 9), 0)
+    for p in (1, 2):
+        assert (kernels.expand_clean(lab, p, stack=True) == np.stack([kernels.expand_clean(one, p) for one in lab])).all()
+        for wrap in (False, True):
+            both = kernels.expand(lab, p, wrap, stack=True)
+            for k in range(2):
+                assert (both[k] == np.stack([kernels.expand(one, p, wrap)[k] for one in lab])).all()
+
+
+def test_lists_of_items_are_cut_within_an_image(monkeypatch):
+    monkeypatch.setattr(color, "LISTED", 3)
+    out = color._lists(np.array([7, 8, 9]), 1, np.array([0] * 7 + [2] * 3), lo=np.arange(10)).to_pylist()
+    assert [(r["image_id"], r["lo"]) for r in out] == [(7, [0, 1, 2]), (7, [3, 4, 5]), (7, [6]), (9, [7, 8, 9])]
