@@ -81,16 +81,28 @@ def _choose(n: int, hard: list, weight: dict, soft: dict, n_colors: int, max_dep
     return coloring.soften(g, soft, color) if soft else color
 
 
+def _triangles(soft: list[tuple[int, int]]) -> dict[tuple[int, int], float]:
+    """graphs.triangle_weights() of one image's edges."""
+    near: dict[int, set] = {}
+    for u, v in soft:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    return {(u, v): 1.0 + len(near[u] & near[v]) for u, v in soft}
+
+
 def color_graph(
     vertices: DataFrame, edges: DataFrame, n_colors: int = 4, max_depth: int = 30, ndim: int = 2, wrap: bool = False,
     palette: dict[tuple[int, int], float] | None = None,
 ) -> DataFrame:
-    """edges: image_id, lo, hi, is_hard, is_soft, w (soft weight; with a palette, the
-    hard edges' weight). A proper coloring of the hard edges, soft ones lowered."""
+    """edges: image_id, lo, hi, is_hard, is_soft, w (soft weight, by triangles if there is
+    no w; with a palette, the hard edges' weight). A proper coloring of the hard edges,
+    soft ones lowered."""
+    given = "w" in edges.columns
 
     def search(n: int, rows: list) -> list[int]:
-        hard = {(a, b): r["w"] for a, b, r in rows if r["is_hard"]}
-        soft = {(a, b): float(r["w"]) for a, b, r in rows if r["is_soft"] and not r["is_hard"]}
+        near = {} if given else _triangles([(a, b) for a, b, r in rows if r["is_soft"]])
+        hard = {(a, b): r["w"] if given else 1.0 for a, b, r in rows if r["is_hard"]}
+        soft = {(a, b): float(r["w"]) if given else near[a, b] for a, b, r in rows if r["is_soft"] and not r["is_hard"]}
         return _choose(n, list(hard), hard, soft, n_colors, max_depth, ndim, wrap, palette)
 
     return _search(vertices, edges, search)
@@ -201,12 +213,8 @@ def _by_image(pixels: DataFrame, more: DataFrame | None, axes: tuple[str, ...],
             rows = list(zip(zip(a[at].tolist(), b[at].tolist(), strict=True), is_hard[at].tolist(), is_soft[at].tolist(), edges[at].tolist(), strict=True))
             mine, loose = [e for e, h, _, _ in rows if h], {}
             if o["palette"] is None:
-                near: dict[int, set] = {}
-                for (u, v), _, s, _ in rows:
-                    if s:
-                        near.setdefault(u, set()).add(v)
-                        near.setdefault(v, set()).add(u)
-                loose = {(u, v): 1.0 + len(near[u] & near[v]) for (u, v), h, s, _ in rows if s and not h}
+                near = _triangles([e for e, _, s, _ in rows if s])
+                loose = {e: near[e] for e, h, s, _ in rows if s and not h}
             far = {e: weight.get(k, 0.0) for e, h, _, k in rows if h} if weight else {}
             color[begin[i] : begin[i + 1]] = _choose(int(begin[i + 1] - begin[i]), mine, far, loose, o["n"], o["max_depth"], n, o["wrap"], o["palette"])
         target = np.where(small > 0, grown, 0) if o["clean_mask"] and o["expand"] else small
@@ -253,12 +261,24 @@ def label(
         edges = _items(every, 1, "lo", "hi", "is_hard", "is_soft")
         out = _colored(_items(every, 2, *axes, "color"), colors, edges, (every,))
         return out.check() if check_conflicts else out
-    cells = compact.format_labels(pixels, axes, shape, order_first_seen=first_seen) if format_input else pixels.where("label > 0")
+    # Pixels keep their labels, so that they need no exchange by label before the last join;
+    # the small tables of labels, edges and weights are renumbered instead.
+    cells = (compact.shift_background(pixels) if format_input else pixels).where("label > 0")
+    names = compact.numbers(cells, axes, shape, first_seen) if format_input else cells.select("image_id", "label").distinct().withColumn("new", F.col("label"))
+
+    def renumbered(pairs: DataFrame) -> DataFrame:
+        if not format_input:
+            return pairs
+        for end in ("lo", "hi"):
+            pairs = joined(pairs, names.withColumnRenamed("label", end), ["image_id", end]).drop(end).withColumnRenamed("new", end)
+        return pairs.withColumns({"lo": F.least("lo", "hi"), "hi": F.greatest("lo", "hi")})
+
     grown = distance.expand_labels(cells, axes, shape, p, wrap, expand_mode) if expand else cells
     edges = adjacency.hard_and_soft(grown, axes, (conn, connect_radius), (soft_conn, soft_radius), wrap, shape)
     if min_contact > 1:
         enough = adjacency.connect(grown, axes, conn, connect_radius, wrap, shape, min_contact).select("image_id", "lo", "hi", F.lit(True).alias("enough"))
         edges = joined(edges, enough, ["image_id", "lo", "hi"], "left").withColumn("is_hard", F.col("is_hard") & F.col("enough").isNotNull()).drop("enough")
+    edges = renumbered(edges).select("image_id", "lo", "hi", "is_hard", "is_soft")
     for more, hard in ((extra_edges, True), (soft_extra_edges, False)):
         if more is not None:
             own = more.where("a > 0 AND b > 0 AND a <> b").select(
@@ -270,17 +290,17 @@ def label(
     if weight_objective:
         # Distances of a clean or unexpanded graph count as 0 on the cells themselves.
         far = distance.expand_labels(cells, axes, shape, p, wrap) if expand else cells.withColumn("d", F.lit(0).cast("long"))
-        w = adjacency.weights(adjacency.reduce_boundary(far, axes, conn, connect_radius, wrap, shape, min_contact), weight_mode)
+        w = renumbered(adjacency.weights(adjacency.reduce_boundary(far, axes, conn, connect_radius, wrap, shape, min_contact), weight_mode))
         weighted = joined(edges, w, ["image_id", "lo", "hi"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
     else:
-        w = graphs.triangle_weights(edges.where("is_soft"))
-        weighted = joined(edges, w, ["image_id", "lo", "hi"], "left").withColumn("w", F.coalesce(F.col("w").cast("double"), F.lit(1.0)))
-    vertices = cells.select("image_id", "label").distinct()
+        weighted = edges
+    vertices = names.select("image_id", F.col("new").alias("label"))
     colors = color_graph(vertices, weighted, n, max_depth, len(axes), wrap, palette).persist()
     target = grown if clean_mask and expand else cells
     if clean_mask and expand:
         target = joined(cells.drop("label"), grown.select("image_id", *axes, "label"), ["image_id", *axes])
-    painted = joined(target, colors, ["image_id", "label"]).select("image_id", *axes, "color")
+    named = joined(names, colors.withColumnRenamed("label", "new"), ["image_id", "new"]) if format_input else colors
+    painted = joined(target, named, ["image_id", "label"]).select("image_id", *axes, "color")
     out = _colored(painted, colors, edges, (edges, colors))
     return out.check() if check_conflicts else out
 

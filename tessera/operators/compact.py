@@ -32,9 +32,18 @@ def shift_background(pixels: DataFrame) -> DataFrame:
     return joined(pixels, low, "image_id").withColumn("label", F.col("label") - F.col("low")).drop("low")
 
 
-def _renumber(pixels: DataFrame, order: F.Column) -> DataFrame:
+def _numbers(pixels: DataFrame, order: F.Column) -> DataFrame:
     labels = pixels.where("label > 0").groupBy("image_id", "label").agg(order.alias("at"))
-    ranked = labels.select("image_id", "label", F.row_number().over(Window.partitionBy("image_id").orderBy("at")).cast("long").alias("new"))
+    return labels.select("image_id", "label", F.row_number().over(Window.partitionBy("image_id").orderBy("at")).cast("long").alias("new"))
+
+
+def numbers(pixels: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], order_first_seen: bool = False) -> DataFrame:
+    """image_id, label, new: what ascending() or first_seen() makes of each label."""
+    return _numbers(pixels, F.min(flat_index(axes, shape)) if order_first_seen else F.min("label"))
+
+
+def _renumber(pixels: DataFrame, order: F.Column) -> DataFrame:
+    ranked = _numbers(pixels, order)
     return joined(pixels.where("label > 0"), ranked, ["image_id", "label"]).drop("label").withColumnRenamed("new", "label").select(*pixels.columns)
 
 

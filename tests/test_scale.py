@@ -8,6 +8,8 @@ from tessera.functions import coloring, kernels
 from tessera.operators import adjacency, color, distance, images
 from tessera.plans.rasters import QUERIES
 
+from tessera.sources import rasters
+
 from test_rasters import SF, image, pixels
 
 AXES = ("y", "x")
@@ -213,3 +215,21 @@ def test_lists_of_items_are_cut_within_an_image(monkeypatch):
     monkeypatch.setattr(color, "LISTED", 3)
     out = color._lists(np.array([7, 8, 9]), 1, np.array([0] * 7 + [2] * 3), lo=np.arange(10)).to_pylist()
     assert [(r["image_id"], r["lo"]) for r in out] == [(7, [0, 1, 2]), (7, [3, 4, 5]), (7, [6]), (9, [7, 8, 9])]
+
+
+@pytest.mark.parametrize("more", [{"first_seen": True}, {"first_seen": True, "weight_objective": "max", "weight_mode": "harmonic"}, {"format_input": False}])
+def test_names_agree_by_image_and_by_joins(spark, more):
+    ims = [np.where(image(s, (14, 14)) > 3, image(s + 9, (14, 14), 9), 0) * 3 for s in range(3)]
+    a, b = (color.label(pixels(spark, *ims), AXES, (14, 14), dense_limit=limit, **more) for limit in (1 << 24, 0))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(a.edges) == rows(b.edges) and rows(a.colors) == rows(b.colors) and rows(a.pixels) == rows(b.pixels)
+    assert a.check() is a and b.check() is b
+    a.free(), b.free()
+
+
+def test_labels_by_joins_exchange_pixels_once(spark):
+    out = color.label(rasters.order_boxes(spark, SF), AXES, (48, 48), expand=False, conn=2, dense_limit=0)
+    plan = plan_of(out.edges)
+    assert "__nth" in plan and "hashpartitioning(image_id" in plan and "label#" not in "".join(x for x in plan.split("Exchange hashpartitioning(")[1:] if ", y" in x.split(")")[0])
+    assert not [x for x in plan.split("Exchange hashpartitioning(")[1:] if "t0" in x.split(")")[0]]
+    out.free()
