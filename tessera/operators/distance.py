@@ -20,7 +20,7 @@ from tessera.functions import kernels
 from tessera.functions.offsets import offsets
 
 from .adjacency import COSTS, boundary_of, face_count, pair_rows, reduce_boundary
-from .images import in_order, map_stacks, rows_of, schema_of, stacks
+from .images import CELLS, in_order, map_stacks, rows_of, schema_of, stacks
 
 
 def _metric(p: int | str) -> int:
@@ -68,21 +68,32 @@ def _pass(pixels: DataFrame, axes: tuple[str, ...], shape: tuple[int, ...], k: i
     """One axis, by blocks of lines: sparse sources in, whole lines out."""
     others = [a for a in axes if a != axes[k]]
 
-    def run(table: pa.Table) -> pa.Table:
-        keys = np.stack([table.column(a).to_numpy() for a in others], 1) if others else np.zeros((table.num_rows, 1), np.int64)
-        line, at = np.unique(keys, axis=0, return_inverse=True)
-        at = at.reshape(-1)
-        lab, dist = np.zeros((shape[k], len(line)), np.int64), np.full((shape[k], len(line)), kernels.FAR)
-        spot = table.column(axes[k]).to_numpy(), at
-        lab[spot], dist[spot] = table.column("label").to_numpy(), table.column("d").to_numpy()
+    def swept(ids: np.ndarray, group: np.ndarray, columns: dict[str, np.ndarray]) -> pa.Table:
+        key = group
+        for a in others:
+            key = key * shape[axes.index(a)] + columns[a]
+        _, first, at = np.unique(key, return_index=True, return_inverse=True)
+        lab, dist = np.zeros((shape[k], len(first)), np.int64), np.full((shape[k], len(first)), kernels.FAR)
+        spot = columns[axes[k]], at
+        lab[spot], dist[spot] = columns["label"], columns["d"]
         (kernels.sweep_l2 if p == 2 else kernels.sweep_l1)(dist, lab, 0, wrap)
         i, j = np.nonzero(lab)
-        cols = {axes[k]: i} | {a: line[j, n] for n, a in enumerate(others)}
-        return pa.table({"image_id": np.full(len(i), table.column("image_id")[0].as_py())} | {a: cols[a] for a in axes} | {"label": lab[i, j], "d": dist[i, j]})
+        cols = {axes[k]: i} | {a: columns[a][first][j] for a in others}
+        return pa.table({"image_id": ids[group[first]][j]} | {a: cols[a] for a in axes} | {"label": lab[i, j], "d": dist[i, j]})
 
-    block = F.pmod(F.xxhash64(*others), F.lit(max(1, math.prod(shape) // shape[k] // lines))) if others else F.lit(0)
-    keyed = pixels.select("image_id", *axes, "label", "d", block.alias("block"))
-    return keyed.groupBy("image_id", "block").applyInArrow(lambda t: run(t), schema_of(axes, "label long, d long"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in stacks(batches, 2):
+            columns = {c: table.column(c).to_numpy() for c in (*axes, "label", "d")}
+            ids, size = table.column("image_id").to_numpy()[begin], np.diff(begin, append=table.num_rows)
+            most = max(1, CELLS // (int(size.max()) * shape[k]))  # a line has a pixel at least
+            most = max(most, CELLS // math.prod(shape))
+            for i in range(0, len(begin), most):
+                rows = slice(begin[i], begin[i + most] if i + most < len(begin) else table.num_rows)
+                yield from swept(ids[i:], np.repeat(np.arange(len(size[i : i + most])), size[i : i + most]), {c: v[rows] for c, v in columns.items()}).to_batches()
+
+    block = F.pmod(F.xxhash64(*others), F.lit(max(1, math.prod(shape) // shape[k] // lines))) if others else F.lit(0).cast("long")
+    keyed = pixels.select("image_id", *axes, "label", "d", block.cast("long").alias("block"))
+    return in_order(keyed, ("image_id", "block"), *axes, "label", "d").mapInArrow(run, schema_of(axes, "label long, d long"))
 
 
 def with_distance(expanded: DataFrame, p: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions
 
 from tessera.functions import coloring, kernels
 from tessera.operators import adjacency, color, distance, images
@@ -233,3 +234,17 @@ def test_labels_by_joins_exchange_pixels_once(spark):
     assert "__nth" in plan and "hashpartitioning(image_id" in plan and "label#" not in "".join(x for x in plan.split("Exchange hashpartitioning(")[1:] if ", y" in x.split(")")[0])
     assert not [x for x in plan.split("Exchange hashpartitioning(")[1:] if "t0" in x.split(")")[0]]
     out.free()
+
+
+@pytest.mark.parametrize("wrap", [False, True])
+def test_lines_by_blocks_are_the_whole_images(spark, wrap):
+    ims = [np.where(image(s) > 3, image(s + 9), 0) for s in range(4)]
+    px = pixels(spark, *ims)
+    a, b = (sorted(map(tuple, distance.expand_labels(px, AXES, (9, 11), 2, wrap, dense_limit=limit).collect())) for limit in (1 << 24, 0))
+    assert a == b
+    now = px.withColumn("d", functions.lit(0).cast("long"))
+    one = {r.image_id * 1000 + r.y * 11 + r.x: (r.label, r.d) for r in distance._pass(now, AXES, (9, 11), 1, 2, wrap, lines=2).collect()}
+    for i, im in enumerate(ims):
+        lab, d = im.copy(), np.where(im > 0, 0, kernels.FAR)
+        kernels.sweep_l2(d, lab, 1, wrap)
+        assert {i * 1000 + y * 11 + x: (int(lab[y, x]), int(d[y, x])) for y, x in np.argwhere(lab)} == {k: v for k, v in one.items() if k // 1000 == i}
